@@ -11,13 +11,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidesort.llm import bpe, chat, quality_rules
+from tidesort.llm import bpe, chat, langid, ordinal, quality_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = ordinal.train(docs, ordinal.graded(_table(spark, sf_dir, "labels")))
+    rated = ordinal.score(docs.select("doc_id", "text"), model)
+    top = F.col("rating.tails")[1]
+    return rated.select("doc_id", F.col("rating.expected").alias("expected_grade"), top.alias("p_top"), (top >= 0.5).alias("kept"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = quality_rules.apply_rules(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_stop_words", "n_lines")
@@ -74,8 +82,16 @@ FROM w GROUP BY conv_id
 """
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = langid.train(docs.where(~held_out))
+    found = langid.label(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_quality_rules": op4_quality_rules, "op8_byte_bpe": op8_byte_bpe, "op9_chat_format": op9_chat_format}
+    return {"op1_ordinal_quality": op1_ordinal_quality, "op4_quality_rules": op4_quality_rules, "op8_byte_bpe": op8_byte_bpe, "op9_chat_format": op9_chat_format, "op10_language_id": op10_language_id}
 
 
 def oracle_sql() -> dict[str, str]:
