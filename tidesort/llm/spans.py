@@ -96,13 +96,10 @@ def with_spans(df: DataFrame, text: str, out: str, kind: str, pattern: str) -> D
 
 def joined(spans: Column, order: Sequence[str], by_kind: bool) -> Column:
     """``kind:start:end`` of all spans, comma-joined; by start then kind, or (``by_kind``) by kind then start."""
-    rank = F.array_position(F.array(*map(F.lit, order)), F.lit(""))  # the type of a rank
-
     def key(s: Column) -> Column:
         rank = F.array_position(F.array(*map(F.lit, order)), s["kind"])
         first, second = (rank, s["start"].cast("long")) if by_kind else (s["start"].cast("long"), rank)
         return F.struct(first.alias("a"), second.alias("b"), s["end"].alias("end"), s["start"].alias("start"), s["kind"].alias("kind"))
 
-    del rank
     rows = F.array_sort(F.transform(spans, key))
     return F.array_join(F.transform(rows, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
