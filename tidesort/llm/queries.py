@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidesort.llm import bpe, chat, langid, ordinal, quality_rules, secrets
+from tidesort.llm import bpe, chat, langid, ngram_join, ordinal, quality_rules, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,11 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, secrets.BASE), F.sha2(secrets.text_of(F.col("base")), 256).alias("base_sha256"), secrets.text_of(F.col("secrets")).alias("spans"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.join_documents(_table(spark, sf_dir, "documents"), ngram_join.Rule(width=4, least=85))
+    return found.withColumnRenamed("component", "component_id")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = quality_rules.apply_rules(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_stop_words", "n_lines")
@@ -98,7 +103,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_ordinal_quality": op1_ordinal_quality, "op2_secret_scan": op2_secret_scan, "op4_quality_rules": op4_quality_rules, "op8_byte_bpe": op8_byte_bpe, "op9_chat_format": op9_chat_format, "op10_language_id": op10_language_id}
+    return {"op1_ordinal_quality": op1_ordinal_quality, "op2_secret_scan": op2_secret_scan, "op3_ngram_join": op3_ngram_join, "op4_quality_rules": op4_quality_rules, "op8_byte_bpe": op8_byte_bpe, "op9_chat_format": op9_chat_format, "op10_language_id": op10_language_id}
 
 
 def oracle_sql() -> dict[str, str]:
