@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidesort.llm import bpe, chat, langid, ngram_join, ordinal, quality_rules, secrets
+from tidesort.llm import bpe, chat, langid, ngram_join, ordinal, pii, quality_rules, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,14 @@ FROM b
 """.replace("[STOP]", "[" + ", ".join(f"'{w}'" for w in dict.fromkeys(quality_rules.STOP_WORDS)) + "]")
 
 
+def op5_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find_pii(docs, pii.train(docs))
+    found = found.select("doc_id", "pii", pii.base_of(F.col("pii")).alias("base"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, pii.BASE), F.sha2(pii.text_of(F.col("base")), 256).alias("base_sha256"), pii.text_of(F.col("pii")).alias("spans"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -103,7 +111,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_ordinal_quality": op1_ordinal_quality, "op2_secret_scan": op2_secret_scan, "op3_ngram_join": op3_ngram_join, "op4_quality_rules": op4_quality_rules, "op8_byte_bpe": op8_byte_bpe, "op9_chat_format": op9_chat_format, "op10_language_id": op10_language_id}
+    return {"op1_ordinal_quality": op1_ordinal_quality, "op2_secret_scan": op2_secret_scan, "op3_ngram_join": op3_ngram_join, "op4_quality_rules": op4_quality_rules, "op5_pii_spans": op5_pii_spans, "op8_byte_bpe": op8_byte_bpe, "op9_chat_format": op9_chat_format, "op10_language_id": op10_language_id}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -21,30 +21,35 @@ SPAN = "struct<start:int,end:int,kind:string,text:string>"
 BLOCK = 256
 
 
-def empty_spans() -> Column:
-    return F.expr(f"cast(array() as array<{SPAN}>)")
+def empty_spans(around: int = 0) -> Column:
+    kind = SPAN.replace(">", ",before:string,after:string>") if around else SPAN
+    return F.expr(f"cast(array() as array<{kind}>)")
 
 
-def with_spans(df: DataFrame, text: str, out: str, kind: str, pattern: str) -> DataFrame:
+def with_spans(df: DataFrame, text: str, out: str, kind: str, pattern: str, around: int = 0) -> DataFrame:
     """Adds ``out``: array of (start, end, kind, text) of each match of ``pattern`` in column ``text``.
 
     Offsets count code points, ends are exclusive.  The text must not be null.  Rows without a match pay one
-    pass of the pattern; the second pass and the totals run for the others alone.
+    pass of the pattern; the second pass and the totals run for the others alone.  With ``around`` the spans also
+    have ``before`` and ``after``: so many code points of context, as far as the next match of the same pattern.
     """
-    hits, steps, blocks, bases = (f"__{out}_{x}" for x in ("hits", "steps", "blocks", "bases"))
+    hits, pieces, steps, blocks, bases = (f"__{out}_{x}" for x in ("hits", "pieces", "steps", "blocks", "bases"))
     lit = F.lit(pattern)
     df = df.withColumn(hits, F.regexp_extract_all(F.col(text), lit, F.lit(0)))
-    df = df.withColumn(
-        steps,
-        F.when(
-            F.size(hits) > 0,
-            F.zip_with(
-                F.slice(F.split(F.col(text), pattern, -1), F.lit(1), F.size(hits)),
-                F.col(hits),
-                lambda gap, hit: F.struct(F.length(gap).alias("gap"), F.length(hit).alias("size"), hit.alias("text")),
-            ),
-        ),
-    )
+    df = df.withColumn(pieces, F.when(F.size(hits) > 0, F.split(F.col(text), pattern, -1)))
+
+    def step_of(gap: Column, hit: Column, after: Column | None = None) -> Column:
+        fields = [F.length(gap).alias("gap"), F.length(hit).alias("size"), hit.alias("text")]
+        if after is not None:
+            fields += [F.substring(gap, -around, around).alias("before"), F.substring(after, 1, around).alias("after")]
+        return F.struct(*fields)
+
+    n = F.size(hits)
+    if around:
+        paired = F.transform(F.sequence(F.lit(1), n), lambda i: step_of(F.element_at(F.col(pieces), i), F.element_at(F.col(hits), i), F.element_at(F.col(pieces), i + 1)))
+    else:
+        paired = F.zip_with(F.slice(F.col(pieces), F.lit(1), n), F.col(hits), step_of)
+    df = df.withColumn(steps, F.when(n > 0, paired))
     df = df.withColumn(
         blocks,
         F.when(
@@ -74,12 +79,13 @@ def with_spans(df: DataFrame, text: str, out: str, kind: str, pattern: str) -> D
     )
 
     def within(block: Column, base: Column) -> Column:
-        start = F.struct(base.alias("at"), empty_spans().alias("out"))
+        start = F.struct(base.alias("at"), empty_spans(around).alias("out"))
 
         def step(acc: Column, s: Column) -> Column:
             begin = acc["at"] + s["gap"]
             end = begin + s["size"]
-            span = F.struct(begin.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), s["text"].alias("text"))
+            context = [s["before"].alias("before"), s["after"].alias("after")] if around else []
+            span = F.struct(begin.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), s["text"].alias("text"), *context)
             return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
         return F.aggregate(block, start, step, lambda acc: acc["out"])
@@ -89,9 +95,9 @@ def with_spans(df: DataFrame, text: str, out: str, kind: str, pattern: str) -> D
         F.when(
             F.size(hits) > 0,
             F.flatten(F.zip_with(F.col(blocks), F.slice(F.col(bases), F.lit(1), F.size(blocks)), within)),
-        ).otherwise(empty_spans()),
+        ).otherwise(empty_spans(around)),
     )
-    return df.drop(hits, steps, blocks, bases)
+    return df.drop(hits, pieces, steps, blocks, bases)
 
 
 def joined(spans: Column, order: Sequence[str], by_kind: bool) -> Column:
