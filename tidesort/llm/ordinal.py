@@ -128,8 +128,9 @@ def fit(row: np.ndarray, feature: np.ndarray, value: np.ndarray, grade: np.ndarr
     known = np.bincount(feature, minlength=1 << bits) >= min_rows
     on = known[feature]
     row, feature = row[on], feature[on]
-    value = unit(row, value[on], n)
+    value = unit(row, value[on], n).astype(np.float32)
     used, at = np.unique(feature, return_inverse=True)
+    at = at.astype(np.int32)
     w, free = np.zeros(len(used)), np.concatenate([[-1.0], np.zeros(k - 1)])
     m, v = np.zeros(len(used) + k), np.zeros(len(used) + k)
     for step in range(1, steps + 1):
@@ -164,6 +165,7 @@ def train(docs: DataFrame, ratings: DataFrame, grade: str = "grade", grades: int
     rated = rated.where((F.col("g") >= 0) & (F.col("g") < grades)).groupBy("k").agg(F.min("g").alias("g"))
     sample = rated.orderBy(F.xxhash64("k"), "k").limit(max_rows)
     rows = docs.select(F.col(f"`{key}`").alias("k"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).join(F.broadcast(sample), "k")
+    rows = rows.groupBy("k", "g").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(bits)
@@ -177,12 +179,14 @@ def train(docs: DataFrame, ratings: DataFrame, grade: str = "grade", grades: int
                     ["k", "g", "f", "v"],
                 )
 
-    got = rows.mapInArrow(run, "k string, g int, f array<int>, v array<float>").toPandas()
-    got = got.drop_duplicates("k").sort_values("k").reset_index(drop=True)
-    if not len(got):
+    # Flat arrays of 4-byte numbers: a table of 12,000 rows takes some 40 MB on the driver.
+    got = rows.mapInArrow(run, "k string, g int, f array<int>, v array<float>").toArrow().sort_by("k")
+    if not got.num_rows:
         return Model(np.zeros(1 << bits, np.float32), np.zeros(1 << bits, bool), np.full(grades - 1, -40.0), bits)
-    sizes = got["f"].map(len).to_numpy()
-    return fit(np.repeat(np.arange(len(got)), sizes), np.concatenate(got["f"].to_list()).astype(np.int64), np.concatenate(got["v"].to_list()).astype(float), got["g"].to_numpy(), grades, bits)
+    feature, value = got.column("f").combine_chunks(), got.column("v").combine_chunks().flatten().to_numpy()
+    sizes, feature, grade_of = feature.value_lengths().to_numpy(), feature.flatten().to_numpy(), got.column("g").to_numpy()
+    row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    return fit(row, feature, value, grade_of, grades, bits)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "rating") -> DataFrame:
