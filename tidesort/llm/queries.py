@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidesort.llm import bpe, chat, langid, ngram_join, ordinal, pii, quality_rules, secrets
+from tidesort.llm import bpe, chat, ivfpq, langid, ngram_join, ordinal, packing, pii, quality_rules, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +71,14 @@ def op5_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, pii.BASE), F.sha2(pii.text_of(F.col("base")), 256).alias("base_sha256"), pii.text_of(F.col("pii")).alias("spans"))
 
 
+def op6_ivfpq_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ivfpq.self_search(_table(spark, sf_dir, "embeddings"), every=50)
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -111,7 +119,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_ordinal_quality": op1_ordinal_quality, "op2_secret_scan": op2_secret_scan, "op3_ngram_join": op3_ngram_join, "op4_quality_rules": op4_quality_rules, "op5_pii_spans": op5_pii_spans, "op8_byte_bpe": op8_byte_bpe, "op9_chat_format": op9_chat_format, "op10_language_id": op10_language_id}
+    return {"op1_ordinal_quality": op1_ordinal_quality, "op2_secret_scan": op2_secret_scan, "op3_ngram_join": op3_ngram_join, "op4_quality_rules": op4_quality_rules, "op5_pii_spans": op5_pii_spans, "op6_ivfpq_search": op6_ivfpq_search, "op7_best_fit_packing": op7_best_fit_packing, "op8_byte_bpe": op8_byte_bpe, "op9_chat_format": op9_chat_format, "op10_language_id": op10_language_id}
 
 
 def oracle_sql() -> dict[str, str]:
