@@ -8,14 +8,14 @@ below.  That bound is used twice:
    Sets that link differ in at most ``D = (1 - t) / (1 + t) (|A| + |B|)`` shingles, hence in at most D blocks; with
    K > D some block's counts agree entirely.  A set therefore visits one cell for each of its blocks, keyed by
    the hash of the block's counts, in the size band of the larger partner.  No linked pair misses a common cell.
-2. *R-trees*, the lower level, hold the points of a cell.  Leaves are packed by size; a pair of leaves, then a pair of
+2. *R-trees*, the lower level, hold the points of the cells of one leader (their least member).  Leaves are packed by size; a pair of leaves, then a pair of
    points, survives only if the summed minima of coordinates (for leaves: of their upper corners) reach the overlap
    that the sizes need.
 
 Surviving pairs are verified on the whole sets.  Large groups don't make pairs: equal sets are one node from the start;
-each cell first tests its members against one leader; components formed that way are contracted, and only cells that
-still hold several components go to the R-trees, which leave out pairs inside a component.  Cells with many points are
-dealt into pairs of pages of at most about ``PAGE`` points each, so no task holds a whole hot cell.
+each cell first tests its members against its leader; components formed that way are contracted, and only groups that
+still hold several components go to the R-trees, which leave out pairs inside a component.  Groups of many points are
+dealt into pairs of pages of about ``PAGE`` points at most, so no task holds a whole hot group.
 
 Hashes are 64 bits.  Blocks are counted so that a set fills more blocks than can differ; by chance of hashing a set fails
 this with a probability of about 1e-8 (``slack`` below), and two different sets get one node with about N^2 / 2^65.
@@ -153,7 +153,7 @@ def _points(rows: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _stars(rows: DataFrame, rule: Rule) -> DataFrame:
-    """(cell, leader, node): the members of each cell of several nodes; a cell's leader is its least node.
+    """(leader, node), distinct: the other members of each cell of several nodes; a cell's leader is its least node.
 
     A task visits cells once for each different set, so copies don't pile up, and reads a cell's rows in order.
     """
@@ -188,10 +188,11 @@ def _stars(rows: DataFrame, rule: Rule) -> DataFrame:
             keep = new & (v != head)
             cell, leader, last = c[-1], head[-1], v[-1]
             if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(c[keep]), pa.array(head[keep]), pa.array(v[keep])], ["cell", "leader", "node"])
+                pairs = np.unique(np.stack([head[keep], v[keep]], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["leader", "node"])
 
     visits = rows.select("key", "text").mapInArrow(visit, "cell long, node long")
-    return visits.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(lead, "cell long, leader long, node long")
+    return visits.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(lead, "leader long, node long").distinct()
 
 
 def _enough(shared: Column, n: Column, m: Column, rule: Rule) -> Column:
@@ -228,7 +229,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
 def _tree_pairs(members: DataFrame, rule: Rule) -> DataFrame:
     """(a, b): pairs of different components in one page pair whose bound reaches the needed overlap.
 
-    ``members``: cell, pa, pb (page pair), side (0: in page pa, 1: in page pb), node, comp, n, point.
+    ``members``: leader, pa, pb (page pair), side (0: in page pa, 1: in page pb), node, comp, n, point.
     """
 
     def join(n: np.ndarray, comp: np.ndarray, side: np.ndarray, point: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -267,8 +268,8 @@ def _tree_pairs(members: DataFrame, rule: Rule) -> DataFrame:
             get = lambda c: table.column(c).to_numpy()
             node, comp, n, side = get("node"), get("comp"), get("n"), get("side")
             point = np.array(table.column("point").combine_chunks().flatten()).reshape(-1, GROUPS)
-            cell, pa_, pb_ = get("cell"), get("pa"), get("pb")
-            edge = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]) | (pa_[1:] != pa_[:-1]) | (pb_[1:] != pb_[:-1])])
+            leader, pa_, pb_ = get("leader"), get("pa"), get("pb")
+            edge = np.flatnonzero(np.r_[True, (leader[1:] != leader[:-1]) | (pa_[1:] != pa_[:-1]) | (pb_[1:] != pb_[:-1])])
             a, b = [], []
             for k, at in enumerate(edge):
                 own = slice(at, edge[k + 1] if k + 1 < len(edge) else len(node))
@@ -285,7 +286,7 @@ def _tree_pairs(members: DataFrame, rule: Rule) -> DataFrame:
                 continue
             held.append(batch)
             table = pa.Table.from_batches(held)
-            key = [table.column(c).to_numpy() for c in ("cell", "pa", "pb")]
+            key = [table.column(c).to_numpy() for c in ("leader", "pa", "pb")]
             tail = np.flatnonzero(np.logical_or.reduce([k != k[-1] for k in key]))  # rows before the last group
             done = int(tail[-1]) + 1 if len(tail) else 0
             if done and (out := work(table.slice(0, done))) is not None:
@@ -294,7 +295,7 @@ def _tree_pairs(members: DataFrame, rule: Rule) -> DataFrame:
         if held and (out := work(pa.Table.from_batches(held))) is not None:
             yield out
 
-    return members.repartition("cell", "pa", "pb").sortWithinPartitions("cell", "pa", "pb").mapInArrow(run, "a long, b long").distinct()
+    return members.repartition("leader", "pa", "pb").sortWithinPartitions("leader", "pa", "pb").mapInArrow(run, "a long, b long").distinct()
 
 
 def join_documents(df: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -311,14 +312,16 @@ def join_documents(df: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text
     links = _link(first, rows, nodes, rule)
     comps = components(links)
 
-    both = stars.select("cell", "node").union(stars.select("cell", F.col("leader").alias("node")).distinct())
-    placed = both.join(comps, "node", "left").select("cell", "node", F.coalesce("comp", "node").alias("comp"))
-    open_cells = placed.groupBy("cell").agg(F.count("*").alias("size"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y")
+    # The cells of one leader hold much the same members: they are searched as one group, so that a pair that meets in
+    # many cells is looked at once.  Groups of one component need no search.
+    both = stars.union(stars.select("leader", F.col("leader").alias("node")).distinct())
+    placed = both.join(comps, "node", "left").select("leader", "node", F.coalesce("comp", "node").alias("comp"))
+    open_groups = placed.groupBy("leader").agg(F.count("*").alias("size"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y")
     pages = F.ceil(F.col("size") / PAGE).cast("int")
-    left = placed.join(open_cells.select("cell", pages.alias("pages")), "cell").join(nodes.select("node", "n", "point"), "node")
+    left = placed.join(open_groups.select("leader", pages.alias("pages")), "leader").join(nodes.select("node", "n", "point"), "node")
     page = F.pmod(F.xxhash64("node"), F.col("pages")).cast("int")
     left = left.withColumn("page", page).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pages") - 1)))
-    members = left.select("cell", F.least("page", "other").alias("pa"), F.greatest("page", "other").alias("pb"), (F.col("page") > F.col("other")).cast("int").alias("side"), "node", "comp", "n", "point")
+    members = left.select("leader", F.least("page", "other").alias("pa"), F.greatest("page", "other").alias("pb"), (F.col("page") > F.col("other")).cast("int").alias("side"), "node", "comp", "n", "point")
     second = _tree_pairs(members, rule).join(first, ["a", "b"], "left_anti").checkpoint()
     links = links.union(_link(second, rows, nodes, rule)).checkpoint()
 
