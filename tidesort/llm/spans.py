@@ -48,7 +48,7 @@ def with_spans(df: DataFrame, text: str, out: str, kind: str, pattern: str, arou
     if around:
         paired = F.transform(F.sequence(F.lit(1), n), lambda i: step_of(F.element_at(F.col(pieces), i), F.element_at(F.col(hits), i), F.element_at(F.col(pieces), i + 1)))
     else:
-        paired = F.zip_with(F.slice(F.col(pieces), F.lit(1), n), F.col(hits), step_of)
+        paired = F.zip_with(F.slice(F.col(pieces), F.lit(1), n), F.col(hits), lambda gap, hit: step_of(gap, hit))
     df = df.withColumn(steps, F.when(n > 0, paired))
     df = df.withColumn(
         blocks,
