@@ -6,7 +6,7 @@ a text.  Languages that don't use the word's script are no candidates.  The best
 each change of language costs ``penalty``, labels every word; runs of one label are the spans, and the label that
 covers most letters is the text's language.
 
-Learned counts come from at most ``max_rows`` rows of each language (those whose hashed key is least); whole texts of
+Learned counts come from about ``max_rows`` rows of each language (those whose hashed key is least); whole texts of
 these rows are counted on the executors, and the driver receives one number for each language and window bucket.
 Languages are at most ``MAX_LANGS``.  Every text is predicted whole.
 
@@ -24,7 +24,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 BITS = 15
 MAX_LANGS = 64
@@ -154,16 +153,16 @@ def viterbi(scores: np.ndarray, sizes: np.ndarray, penalty: float) -> np.ndarray
 
 
 def train(docs: DataFrame, lang: str = "lang", key: str = "doc_id", text: str = "text", max_rows: int = 3000, bits: int = BITS, penalty: float = 6.0) -> Model:
-    """Counts windows in at most ``max_rows`` rows of each language of ``docs``; rows without language or text teach nothing."""
+    """Counts windows in about ``max_rows`` rows of each language of ``docs``; rows without language or text teach nothing."""
     rows = docs.select(F.col(f"`{key}`").cast("string").alias("k"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text"))
     rows = rows.where("k is not null and lang is not null and text is not null")
-    ranked = Window.partitionBy("lang").orderBy(F.xxhash64("k"), "k")
-    sample = rows.select("lang", "k").withColumn("n", F.row_number().over(ranked)).where(F.col("n") <= max_rows)
-    langs = [r["lang"] for r in sample.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).select("lang").collect()]
-    langs = tuple(sorted(langs))
+    found = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
+    langs = tuple(sorted(r["lang"] for r in found))
     if not langs:
         return Model((), np.zeros((1 << bits, 0)), np.zeros((len(NAMES), 0), bool), penalty)
-    chosen = rows.join(F.broadcast(sample.where(F.col("lang").isin(*langs)).select("k", "lang").distinct()), ["k", "lang"])
+    # A row is in the sample when its hash falls below its language's share: no sort, no shuffle of rows.
+    share = F.create_map(*(x for r in found for x in (F.lit(r["lang"]), F.lit(int(min(1.0, max_rows / r["n"]) * (1 << 30))))))
+    chosen = rows.where(F.col("lang").isin(*langs) & (F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < share[F.col("lang")]))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(langs), (1 << bits) + len(NAMES)), np.int64)
@@ -191,12 +190,15 @@ LABELS = "lang_pred string, score double, spans array<struct<start:int,end:int,l
 
 def label(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, lang_pred, score, spans): spans are runs of words (white-space tokens, end exclusive) of one language."""
+    if not model.langs:
+        none = F.expr("cast(array() as array<struct<start:int,end:int,lang:string>>)")
+        return docs.select(F.col(f"`{key}`"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), none.alias("spans"))
     sent = docs.sparkSession.sparkContext.broadcast(model)
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        words, k = Words(m), max(1, len(m.langs))
+        words, k = Words(m), len(m.langs)
         for batch in batches:
             langs, scores, spans = [], [], []
             for tokens in _groups(batch.column(1).to_pylist(), CELLS // k):
@@ -204,7 +206,7 @@ def label(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
                 words.rows({t for own in tokens for t in own})
                 get = words.index.__getitem__
                 index = np.fromiter((get(t) for own in tokens for t in own), np.int64, int(sizes.sum()))
-                path = viterbi(words.scores[index], sizes, m.penalty) if m.langs else np.zeros(len(index), np.int16)
+                path = viterbi(words.scores[index], sizes, m.penalty)
                 weight = words.letters[index]
                 doc = np.repeat(np.arange(len(tokens)), sizes)
                 cover = np.bincount(doc * k + path, weights=weight, minlength=len(tokens) * k).reshape(len(tokens), k)
@@ -213,7 +215,7 @@ def label(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
                 turn = np.flatnonzero(np.r_[True, (path[1:] != path[:-1]) | (doc[1:] != doc[:-1])]) if len(path) else np.zeros(0, np.int64)
                 cut = np.searchsorted(turn, np.r_[0, ends])
                 for i, n in enumerate(sizes):
-                    if not total[i] or not m.langs:
+                    if not total[i]:
                         langs.append("und")
                         scores.append(0.0)
                         spans.append([])
