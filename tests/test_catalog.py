@@ -1,6 +1,8 @@
 """Registered queries against their SQL in DuckDB."""
 
 import importlib.util
+import subprocess
+import sys
 from pathlib import Path
 
 import duckdb
@@ -34,6 +36,12 @@ def test_every_query_has_sql():
     assert catalog.queries().keys() == catalog.oracle_sql().keys()
 
 
+def test_queries_are_listed_without_a_session():
+    root = Path(__file__).resolve().parent.parent
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=root, capture_output=True, text=True)
+    assert said.returncode == 0, said.stderr
+
+
 def test_entry_runs(spark):
     spec = importlib.util.spec_from_file_location("entry_module", Path(__file__).resolve().parent.parent / "__spark_entry__.py")
     module = importlib.util.module_from_spec(spec)

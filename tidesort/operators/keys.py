@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 ColumnLike = Column | str | Callable[[DataFrame], Column]
 
-#: Widths, in bytes, of the packed keys for short, paired and long reads; four bases fit a byte.
+# Widths, in bytes, of the packed keys for short, paired and long reads (four bases fit a byte), width of
+# the name key, and the form of the packed key's tag.
 ILLUMINA_WIDTH, PAIRED_END_WIDTH, LONG_READ_WIDTH = 38, 64, 128
 NAME_WIDTH = 16
+PACKED_TAG = "spill:seq2b:{:04d}"
 
 
 def resolve(key: ColumnLike, df: DataFrame) -> Column:
@@ -83,7 +85,7 @@ class KeyKind:
 
 
 def packed_kind(width: int) -> KeyKind:
-    return KeyKind(f"spill:seq2b:{width:04d}", width, lambda df: packed_sequence_key("sequence", width))
+    return KeyKind(PACKED_TAG.format(width), width, lambda df: packed_sequence_key("sequence", width))
 
 
 ILLUMINA_KEY, PAIRED_END_KEY, LONG_READ_KEY = map(packed_kind, (ILLUMINA_WIDTH, PAIRED_END_WIDTH, LONG_READ_WIDTH))

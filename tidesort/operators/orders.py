@@ -75,12 +75,12 @@ def natural(*keys: ColumnLike) -> Order:
 
 def via(*columns: str, target: str = "binary") -> Order:
     """Compares columns through a common type."""
-    return Order(tuple(F.col(c).cast(target) for c in columns))
+    return Order(tuple(lambda df, c=c: F.col(c).cast(target) for c in columns))
 
 
 def normalized(rule: Callable[[Column], Column], *columns: str) -> Order:
     """Compares a normal form, such as ``F.lower``; values of one normal form are ordered by the value itself."""
-    return Order(tuple(rule(F.col(c)) for c in columns))
+    return Order(tuple(lambda df, c=c: rule(F.col(c)) for c in columns))
 
 
 def sequence_order(width: int | None = None) -> Order:

@@ -139,16 +139,18 @@ def _tables() -> dict[str, tuple[Query, str]]:
         return with_position(df.orderBy(*order.columns(df)).limit(100), order)
 
     out["topk"] = (topk, f"SELECT * FROM ({top}) WHERE pos <= 100")
-    relation = orders.natural("l_partkey").reversed()
-    a, b = F.col("l_partkey"), F.col("l_suppkey")
+
+    def relation(spark: SparkSession, d: str) -> DataFrame:
+        """The predicates of a reversed order, and its larger and smaller value."""
+        down, a, b = orders.natural("l_partkey").reversed(), F.col("l_partkey"), F.col("l_suppkey")
+        tests = [getattr(down, n)(a, b).alias(f"rev_{n}") for n in ("lt", "le", "gt", "ge", "eq")]
+        return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", a, b, *tests, down.max(a, b).alias("rev_max"), down.min(a, b).alias("rev_min"))
+
     out["comparator_predicates"] = (
-        lambda spark, d: table(spark, d, "lineitem").select(
-            "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-            *(getattr(relation, n)(a, b).alias(f"rev_{n}") for n in ("lt", "le", "gt", "ge", "eq")), relation.max(a, b).alias("rev_max"), relation.min(a, b).alias("rev_min"),
-        ),
+        relation,
         """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_partkey > l_suppkey AS rev_lt, l_partkey >= l_suppkey AS rev_le, l_partkey < l_suppkey AS rev_gt,
         l_partkey <= l_suppkey AS rev_ge, l_partkey = l_suppkey AS rev_eq, least(l_partkey, l_suppkey) AS rev_max, greatest(l_partkey, l_suppkey) AS rev_min FROM lineitem""",
-    )
+    )
     return out
 
 
@@ -214,9 +216,8 @@ def _records() -> dict[str, tuple[Query, str]]:
         lambda spark, d: SortSpec().sort_by_name().omit_names().dedup_by_name().run(reads(spark, d)),
         f"{READS} SELECT '' AS name, sequence, quality, 1::BIGINT AS pos FROM r ORDER BY r.name, sequence, quality LIMIT 1",
     )
-    spaced = F.concat("name", F.lit(" 1:N:0:"), F.substring("sequence", 1, 6)).alias("name")
     out["codec_split_names"] = (
-        lambda spark, d: reads(spark, d).select(spaced, "sequence").select("name", "sequence", transforms.short_name("name").alias("identifier"), transforms.description("name").alias("description")),
+        lambda spark, d: reads(spark, d).select(F.concat("name", F.lit(" 1:N:0:"), F.substring("sequence", 1, 6)).alias("name"), "sequence").select("name", "sequence", transforms.short_name("name").alias("identifier"), transforms.description("name").alias("description")),
         f"{READS}, s AS (SELECT name || ' 1:N:0:' || substr(sequence, 1, 6) AS name, sequence FROM r) SELECT name, sequence, split_part(name, ' ', 1) AS identifier, substr(name, strpos(name, ' ') + 1) AS description FROM s",
     )
 
