@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from tidesort.llm.graph import components, written
 
-GROUPS = 64
+GROUPS = 256
 PAGE = 1024
 LEAF = 16
 CACHE = 500_000
