@@ -6,6 +6,8 @@ partitions, so counts and neighbours taken from one pass hold for the next one,
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 from collections.abc import Iterator
 
@@ -23,7 +25,11 @@ _LOW = (1 << 33) - 1
 def use_shared_dir(spark: SparkSession) -> None:
     """Checkpoints go to spark.checkpoint.dir; a folder of our own only where none is set, as in tests."""
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidesort-"))
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found:
+            found = tempfile.mkdtemp(prefix="tidesort-")
+            atexit.register(shutil.rmtree, found, True)
+        spark.sparkContext.setCheckpointDir(found)
 
 
 def ranged(df: DataFrame, order: Order, partitions: int | None = None) -> DataFrame:
