@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -13,8 +15,11 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = spark.conf.get("tidesort.work.dir", None) or tempfile.mkdtemp(prefix="tidesort-")
-        spark.conf.set("tidesort.work.dir", found)
+        found = spark.conf.get("tidesort.work.dir", None)
+        if not found:
+            found = tempfile.mkdtemp(prefix="tidesort-")
+            atexit.register(shutil.rmtree, found, True)
+            spark.conf.set("tidesort.work.dir", found)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(found)
     return found
