@@ -26,10 +26,10 @@ def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose probability of the top grade is at least one half; the model learns from the rated raw documents."""
+    """Documents whose probability of the top grade reaches the cut of the model; the model learns from the rated raw documents."""
     raw = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = ordinal.train(raw, ordinal.graded(spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    rated = ordinal.score(docs, model, out="__rating").withColumn("__kept", F.col("__rating.tails")[1] >= 0.5)
+    rated = ordinal.score(docs, model, out="__rating").withColumn("__kept", F.col("__rating.tails")[1] >= model.cut)
     return rated.where("__kept").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 

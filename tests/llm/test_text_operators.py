@@ -4,9 +4,11 @@ import base64
 import collections
 import hashlib
 import json
+import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -225,3 +227,26 @@ def test_ordinal_grades(spark, empty):
     assert all(r.rating.tails[1] > 0.99 for r in ordinal.score(df, none).collect())
     assert ordinal.score(empty, model).count() == 0
     json.dumps(got[1].asDict())
+
+
+def test_ordinal_rare_words_in_long_texts(spark):
+    rng = random.Random(7)
+    vocabulary = [f"{rng.choice('bcdfg')}{rng.choice('aeiou')}{k:x}".translate(str.maketrans("0123456789", "ghijklmnop")) for k in range(4000)]
+    endings = ["ig", "er", "enheit", "ung", "st", "ver", "zu", "pf", "au", "te"]
+    rows = []
+    for i in range(1200):
+        words = [rng.choice(vocabulary) for _ in range(rng.choice((30, 300, 1200)))]
+        if i % 6 == 0:  # one stem, under an ending that is seen in few rows
+            words[rng.randrange(len(words))] = "schuftlich" + rng.choice(endings) + rng.choice(endings)
+        rows.append((i, " ".join(words), 1 if i % 6 == 0 else 2))
+    df = spark.createDataFrame(rows, "doc_id long, text string, grade int")
+    model = ordinal.train(df, df.where("doc_id < 800").select("doc_id", "grade"))
+    got = ordinal.score(df.where("doc_id >= 800"), model).select("grade", F.col("rating.tails")[1].alias("top")).collect()
+    kept = lambda g: [r.top >= model.cut for r in got if r.grade == g]
+    assert sum(kept(1)) <= 0.1 * len(kept(1)) and sum(kept(2)) >= 0.97 * len(kept(2))
+
+
+def test_ordinal_cut():
+    score, top = np.array([-3.0, -1.0, 2.0, 4.0, 5.0]), np.array([False, False, True, True, True])
+    assert ordinal.choose_cut(score, top, 0.99) == 0.5
+    assert ordinal.choose_cut(score, ~top | top, 0.99) == -3.0 and ordinal.choose_cut(score, top & ~top, 0.99) == 0.0

@@ -4,9 +4,14 @@
 ordered thresholds ``t_0 < t_1 < ...``.  The model gives the expected grade and the probability of the tail
 (``grade >= k``), by which rows are selected.
 
-Features of a text are hashed counts of its words (letters only, lower case), of the shapes of its tokens (case, digits,
-trailing marks), of immediate repetitions, and a bucket of its length; counts enter as log(1 + n).  Features that
-fewer than ``min_rows`` of the rated rows have are left out; what is left of a row is scaled to unit length.
+Features of a text are hashed counts of its words (letters only, lower case), of their first 4 to 7 letters (a stem
+stands under many endings), of the shapes of its tokens (case, digits, trailing marks), of immediate repetitions, and a
+bucket of its length; counts enter as log(1 + n), whatever the text's length, so one word weighs the same in any text.
+The model uses the ``most`` features whose presence depends most on the grade (G statistic, ``least_g`` at least), of
+those that ``min_rows`` of the rated rows have.
+
+Rows are selected by ``Model.cut``, a bound for the probability of the top grade: it is chosen on a fifth of the rated
+rows, with a model of the others, to keep the share ``keep`` of the top grade and as few of the lower grades as that allows.
 
 The model is fitted on the driver on at most ``max_rows`` rated rows (those whose hashed id is least, so the sample is
 the same on every run), whose features are made on the executors.  Every row of the table is scored.
@@ -20,7 +25,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from zlib import crc32
 
 import numpy as np
@@ -29,7 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BITS = 18
+BITS = 20
+PREFIXES = (4, 5, 6, 7)
 #: Words of a text that are held at once; features of longer texts are added up over blocks.
 BLOCK = 200_000
 CACHE = 300_000
@@ -37,10 +43,19 @@ _MARKS = re.compile(r"[^\W\d_]+")
 
 
 class Features:
-    """Token -> (word feature, shape feature), with a bounded cache; one per worker task."""
+    """Token -> its features (word, shape, prefixes), with a bounded cache; one per worker task.
+
+    Given ``known`` (feature -> whether it is used), words, shapes and prefixes that are not used are left out.
+    """
+
+    def __init__(self, bits: int = BITS, known: np.ndarray | None = None):
+        self.size, self.known = 1 << bits, known
+        self.clear()
 
-    def __init__(self, bits: int = BITS):
-        self.size, self.cache = 1 << bits, {}
+    def clear(self) -> None:
+        self.cache: dict[str, int] = {}
+        self.table = np.full((1024, 2 + len(PREFIXES)), -1, np.int64)
+        self.same = np.zeros(1024, np.int64)  # word and shape in one number
 
     def bucket(self, text: str) -> int:
         return crc32(text.encode()) & (self.size - 1)
@@ -50,14 +65,21 @@ class Features:
         case = "-" if not word else "a" if word.islower() else "A" if word.isupper() else "Aa" if word[0].isupper() else "m"
         digits = "9" if any(c.isdigit() for c in token) else ""
         tail = "".join(c for c in token[-3:] if not c.isalnum())
-        packed = self.bucket("w:" + word.lower()) << 32 | self.bucket(f"s:{case}{digits}{tail}")
-        self.cache[token] = packed
-        return packed
+        low = word.lower()
+        found = [self.bucket("w:" + low), self.bucket(f"s:{case}{digits}{tail}"), *(self.bucket("p:" + low[:k]) if len(low) > k else -1 for k in PREFIXES)]
+        at = len(self.cache)
+        if at == len(self.table):
+            self.table = np.concatenate([self.table, np.full_like(self.table, -1)])
+            self.same = np.concatenate([self.same, np.zeros_like(self.same)])
+        self.same[at] = found[0] << 32 | found[1]
+        self.table[at] = found if self.known is None else [f if f >= 0 and self.known[f] else -1 for f in found]
+        self.cache[token] = at
+        return at
 
     def rows(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, feature, log(1 + count)) of all texts, sorted by row and feature."""
         if len(self.cache) > CACHE:
-            self.cache.clear()
+            self.clear()
         keys, counts = [], []
         group: list[tuple[int, list[str]]] = []
         held = 0
@@ -69,12 +91,16 @@ class Features:
             sizes = np.fromiter((len(w) for _, w in group), np.int64, len(group))
             row = np.repeat(np.fromiter((i for i, _ in group), np.int64, len(group)), sizes) << 32
             get, make = self.cache.get, self._token
-            packed = np.fromiter((p if (p := get(w)) is not None else make(w) for _, words in group for w in words), np.int64, int(sizes.sum()))
-            same = np.flatnonzero((packed[1:] == packed[:-1]) & (row[1:] == row[:-1]))
-            found = np.concatenate([row | packed >> 32, row | packed & 0xFFFFFFFF, row[same] | self.bucket("r:")])
-            key, count = np.unique(found, return_counts=True)
+            index = np.fromiter((p if (p := get(w)) is not None else make(w) for _, words in group for w in words), np.int64, int(sizes.sum()))
+            mark = self.same[index]
+            again = np.flatnonzero((mark[1:] == mark[:-1]) & (row[1:] == row[:-1]))
+            token, times = np.unique(row | index, return_counts=True)
+            found = self.table[token & 0xFFFFFFFF]
+            on = found >= 0
+            found = np.concatenate([((token >> 32 << 32)[:, None] | found)[on], row[again] | self.bucket("r:")])
+            key, at = np.unique(found, return_inverse=True)
             keys.append(key)
-            counts.append(count)
+            counts.append(np.bincount(at, weights=np.concatenate([np.repeat(times, on.sum(axis=1)), np.ones(len(again), np.int64)]), minlength=len(key)))
             group.clear()
             held = 0
 
@@ -96,22 +122,18 @@ class Features:
         return key >> 32, key & 0xFFFFFFFF, value
 
 
-def unit(row: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
-    """Values scaled so that each row has length 1."""
-    return value / np.sqrt(np.bincount(row, weights=value * value, minlength=n))[row]
-
-
 @dataclass(frozen=True)
 class Model:
     weights: np.ndarray
     known: np.ndarray
     thresholds: np.ndarray
     bits: int = BITS
+    cut: float = 0.5
 
     def score(self, row: np.ndarray, feature: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
         on = self.known[feature]
         row, feature, value = row[on], feature[on], value[on]
-        return np.bincount(row, weights=unit(row, value, n) * self.weights[feature], minlength=n)
+        return np.bincount(row, weights=value * self.weights[feature], minlength=n)
 
     def tails(self, score: np.ndarray) -> np.ndarray:
         """P(grade >= k) for k = 1, 2, ... in columns."""
@@ -122,34 +144,75 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(row: np.ndarray, feature: np.ndarray, value: np.ndarray, grade: np.ndarray, grades: int, bits: int = BITS, min_rows: int = 5, l2: float = 1e-6, steps: int = 250, rate: float = 0.5) -> Model:
-    """Full-batch Adam on the mean negative log-likelihood; thresholds stay ordered as a first one plus positive gaps."""
+def associated(row: np.ndarray, feature: np.ndarray, grade: np.ndarray, grades: int, bits: int, min_rows: int, least_g: float, most: int) -> np.ndarray:
+    """Feature -> whether it is used: the ``most`` with the largest G of (has the feature, grade)."""
+    has = np.stack([np.bincount(feature[(grade == j)[row]], minlength=1 << bits) for j in range(grades)], axis=1)
+    used = np.flatnonzero(has.sum(axis=1) >= min_rows)
+    has, rows = has[used].astype(float), np.bincount(grade, minlength=grades).astype(float)
+    share = has.sum(axis=1, keepdims=True) / len(grade)
+    g = np.zeros(len(used))
+    for seen, expected in ((has, share * rows), (rows - has, (1 - share) * rows)):
+        g += 2 * (seen * np.log(np.where(seen > 0, seen, 1) / np.where(seen > 0, expected, 1))).sum(axis=1)
+    best = np.lexsort((used, -g))[:most]
+    known = np.zeros(1 << bits, bool)
+    known[used[best[g[best] >= least_g]]] = True
+    return known
+
+
+def fit(row: np.ndarray, feature: np.ndarray, value: np.ndarray, grade: np.ndarray, grades: int, bits: int = BITS, min_rows: int = 5, l2: float = 1e-4, steps: int = 300, rate: float = 0.1, least_g: float = 20.0, most: int = 2000) -> Model:
+    """Full-batch Adam on the mean negative log-likelihood; thresholds stay ordered as a first one plus positive gaps.
+
+    Features are centred (their means go into the thresholds), and the step falls to zero, so the fit settles.
+    """
     n, k = len(grade), grades - 1
-    known = np.bincount(feature, minlength=1 << bits) >= min_rows
+    known = associated(row, feature, grade, grades, bits, min_rows, least_g, most)
     on = known[feature]
-    row, feature = row[on], feature[on]
-    value = unit(row, value[on], n).astype(np.float32)
+    row, feature, value = row[on], feature[on], value[on].astype(np.float64)
     used, at = np.unique(feature, return_inverse=True)
-    at = at.astype(np.int32)
+    mean = np.bincount(at, weights=value, minlength=len(used)) / n
     w, free = np.zeros(len(used)), np.concatenate([[-1.0], np.zeros(k - 1)])
     m, v = np.zeros(len(used) + k), np.zeros(len(used) + k)
     for step in range(1, steps + 1):
         theta = np.concatenate([free[:1], free[0] + np.cumsum(np.exp(free[1:]))])
-        score = np.bincount(row, weights=value * w[at], minlength=n)
+        score = np.bincount(row, weights=value * w[at], minlength=n) - mean @ w
         edge = np.concatenate([[-np.inf], theta, [np.inf]])
         hi, lo = _cdf(edge[grade + 1] - score), _cdf(edge[grade] - score)
         p = np.maximum(hi - lo, 1e-9)
         d_hi, d_lo = hi * (1 - hi) / p / n, lo * (1 - lo) / p / n
-        g_w = np.bincount(at, weights=value * (d_hi - d_lo)[row], minlength=len(used)) + l2 * w
+        slope = d_hi - d_lo
+        g_w = np.bincount(at, weights=value * slope[row], minlength=len(used)) - mean * slope.sum() + l2 * w
         g_theta = np.array([-d_hi[grade == j].sum() + d_lo[grade == j + 1].sum() for j in range(k)])
         g_free = np.array([g_theta.sum(), *(np.exp(free[j]) * g_theta[j:].sum() for j in range(1, k))])
         g = np.concatenate([g_w, g_free])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        move = rate * (1 - (step - 1) / steps) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, free = w - move[:-k], free - move[-k:]
     weights = np.zeros(1 << bits, np.float32)
     weights[used] = w
-    return Model(weights, known, np.concatenate([free[:1], free[0] + np.cumsum(np.exp(free[1:]))]), bits)
+    theta = np.concatenate([free[:1], free[0] + np.cumsum(np.exp(free[1:]))])
+    return Model(weights, known, theta + mean @ w, bits)
+
+
+def choose_cut(score: np.ndarray, top: np.ndarray, keep: float) -> float:
+    """A score that the share ``keep`` of the rows of grade ``top`` reaches, in the middle of the gap below those rows."""
+    good, rest = np.sort(score[top]), score[~top]
+    if not len(good):
+        return 0.0
+    least = good[min(len(good) - 1, int((1 - keep) * len(good)))]
+    below = rest[rest < least]
+    return float((least + below.max()) / 2) if len(below) else float(min(0.0, least))
+
+
+def fit_with_cut(row: np.ndarray, feature: np.ndarray, value: np.ndarray, grade: np.ndarray, grades: int, bits: int = BITS, keep: float = 0.99) -> Model:
+    """The model of all rows; its cut comes from every fifth row and a model of the other rows."""
+    held = np.arange(len(grade)) % 5 == 4
+    place = np.where(held, np.cumsum(held), np.cumsum(~held)) - 1
+    on = ~held[row]
+    part = fit(place[row[on]], feature[on], value[on], grade[~held], grades, bits)
+    on = ~on
+    seen = part.score(place[row[on]], feature[on], value[on], int(held.sum())) - part.thresholds[-1]
+    cut = float(_sigmoid(np.array(choose_cut(seen, grade[held] == grades - 1, keep))))
+    return replace(fit(row, feature, value, grade, grades, bits), cut=cut)
 
 
 def _cdf(x: np.ndarray) -> np.ndarray:
@@ -179,14 +242,15 @@ def train(docs: DataFrame, ratings: DataFrame, grade: str = "grade", grades: int
                     ["k", "g", "f", "v"],
                 )
 
-    # Flat arrays of 4-byte numbers: a table of 12,000 rows takes some 40 MB on the driver.
-    got = rows.mapInArrow(run, "k string, g int, f array<int>, v array<float>").toArrow().sort_by("k")
+    # Flat arrays of 4-byte numbers; in hashed order, so that every fifth row is a fair sample.
+    got = rows.mapInArrow(run, "k string, g int, f array<int>, v array<float>").toArrow()
     if not got.num_rows:
         return Model(np.zeros(1 << bits, np.float32), np.zeros(1 << bits, bool), np.full(grades - 1, -40.0), bits)
+    got = got.take(np.lexsort((got.column("k").to_pylist(), [crc32(k.encode()) for k in got.column("k").to_pylist()])))
     feature, value = got.column("f").combine_chunks(), got.column("v").combine_chunks().flatten().to_numpy()
     sizes, feature, grade_of = feature.value_lengths().to_numpy(), feature.flatten().to_numpy(), got.column("g").to_numpy()
     row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-    return fit(row, feature, value, grade_of, grades, bits)
+    return fit_with_cut(row, feature, value, grade_of, grades, bits)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "rating") -> DataFrame:
@@ -196,7 +260,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "rating"
 
     @F.pandas_udf("expected double, tails array<double>")
     def rate(frames: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        m, features = Model(*sent.value, bits), Features(bits)
+        m, features = Model(*sent.value, bits), Features(bits, sent.value[1])
         for texts in frames:
             total = np.zeros(len(texts))
             for k in range(0, len(texts), 256):

@@ -23,7 +23,7 @@ def op1_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = ordinal.train(docs, ordinal.graded(_table(spark, sf_dir, "labels")))
     rated = ordinal.score(docs.select("doc_id", "text"), model)
     top = F.col("rating.tails")[1]
-    return rated.select("doc_id", F.col("rating.expected").alias("expected_grade"), top.alias("p_top"), (top >= 0.5).alias("kept"))
+    return rated.select("doc_id", F.col("rating.expected").alias("expected_grade"), top.alias("p_top"), (top >= model.cut).alias("kept"))
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
