@@ -34,16 +34,19 @@ def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, similarity 0.8): the one with the least id.
+    """One row of each group of near duplicates (five-word shingles, similarity 0.8): the one with the least id.
 
-    Of rows that repeat both id and text one stays; rows without an id stay once for each different text.
+    Groups are of rows, as one id may stand at different texts.  Of blank rows that repeat both id and text one stays;
+    rows without an id stay once for each different text.
     """
-    found = written(ngram_join.join_documents(docs.where("doc_id is not null"), ngram_join.Rule(width=5, least=80)), "groups")
-    gone = found.where("component <> doc_id").select("doc_id").distinct()
+    rows = written(docs.where("doc_id is not null").withColumn("__near", F.monotonically_increasing_id()), "rows")
+    found = written(ngram_join.join_documents(rows, ngram_join.Rule(width=5, least=80), key="__near"), "groups")
+    first = F.min(F.struct("doc_id", "__near"))["__near"].alias("__near")
+    named = found.where("n_shingles > 0").join(rows.select("__near", "doc_id"), "__near").groupBy("component").agg(first).select("__near")
+    blank = rows.where(~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")).groupBy("doc_id", "text").agg(F.min("__near").alias("__near")).select("__near")
+    gone = written(found.select("__near").join(named.union(blank), "__near", "left_anti"), "gone")
     few = gone.limit(ngram_join.BROADCAST_ROWS + 1).count() <= ngram_join.BROADCAST_ROWS
-    kept = docs.where("doc_id is not null").join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
-    if not found.groupBy("doc_id").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id", "text"])
+    kept = rows.join(F.broadcast(gone) if few else gone, "__near", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
     return kept.unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
 
 

@@ -46,6 +46,16 @@ def test_stages(spark, tables):
     assert ids("packing") == ids("pii")
 
 
+def test_one_id_at_several_texts(spark):
+    import corpus_pipeline as c
+
+    text = lambda x: " ".join(f"{x}{i}" for i in range(60))
+    rows = [(3, text("y")), (5, text("y") + " more"), (5, text("x")), (9, text("x")), (7, text("z")), (7, text("z") + " end"), (8, " "), (8, " "), (8, "")]
+    out = c.near_duplicates_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    got = sorted((r.doc_id, r.text) for r in out if r.doc_id != 7)
+    assert got == sorted([(3, text("y")), (5, text("x")), (8, " "), (8, "")]) and len([r for r in out if r.doc_id == 7]) == 1
+
+
 def test_run_on_an_empty_table(spark, tables, tmp_path):
     import corpus_pipeline as c
 
