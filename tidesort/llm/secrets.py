@@ -2,15 +2,18 @@
 
 Strong spans (``assign``, ``access``, ``hex``) are always reported.  Weak candidates (``weak_secret``: mixed-case runs
 with digits; ``weak_id``: named identifiers; ``endpoint``: addresses of services) say little alone.  Within a scope (a
-block between blank lines) they are joined by interval: a secret to an identifier or endpoint at most ``reach`` code
-points away, an identifier or endpoint to a secret.  A weak candidate is reported when such a complement exists.
+block between blank lines) they are joined by interval: a secret to an identifier or endpoint of its scope, an identifier or
+endpoint to a secret, at most ``reach`` code points away if a reach is given.  A weak candidate is reported when such a
+complement exists.
 
 The interval join is a sweep: the parts of a text lie in one array sorted by start; one pass forward and one
 backward carry the nearest part of each role, and a blank line forgets them.  The nearest part decides whether any
 part is within reach, so no pairs are made and the cost follows the number of parts.  Nothing is shuffled.
 
 Defined results: a null or empty text has no spans; other columns are carried through, except one named as ``out``;
-repeated rows give repeated results; an empty table gives an empty table.
+repeated rows give repeated results; a very long text is searched whole, at a cost in proportion to its length and its spans;
+spans that start at one place are listed by kind; of equally near complements any confirms; an empty table gives an empty
+table.
 """
 
 from __future__ import annotations
@@ -41,14 +44,14 @@ def _kinds(role: str) -> list[str]:
     return [k for k, r in ROLES.items() if r == role]
 
 
-def _sweep(parts: Column, forward: bool, reach: int) -> Column:
+def _sweep(parts: Column, forward: bool, reach: int | None) -> Column:
     """For each part in order: whether a complement stands before it (``forward``) or after it, within reach and scope."""
     roles = ("id", "secret", "endpoint")
     state = F.struct(*(F.lit(None).cast("int").alias(r) for r in roles), F.expr("cast(array() as array<boolean>)").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
         edge, far = (s["start"], s["end"]) if forward else (s["end"], s["start"])
-        near = {r: F.coalesce((edge - acc[r] if forward else acc[r] - edge) <= reach, F.lit(False)) for r in roles}
+        near = {r: acc[r].isNotNull() if reach is None else F.coalesce((edge - acc[r] if forward else acc[r] - edge) <= reach, F.lit(False)) for r in roles}
         found = F.lit(False)
         for role in roles:
             found = found | (s["kind"].isin(_kinds(role)) & (near[NEEDS[role][0]] | (near[NEEDS[role][1]] if len(NEEDS[role]) > 1 else F.lit(False))))
@@ -60,7 +63,7 @@ def _sweep(parts: Column, forward: bool, reach: int) -> Column:
     return F.aggregate(parts, state, step, lambda acc: acc["out"])
 
 
-def find_secrets(df: DataFrame, text: str = "text", out: str = "secrets", reach: int = 300) -> DataFrame:
+def find_secrets(df: DataFrame, text: str = "text", out: str = "secrets", reach: int | None = None) -> DataFrame:
     """Adds ``out``: array of (start, end, kind, text), strong spans and the weak ones that a complement confirms."""
     kept = [F.col(f"`{c}`") for c in df.columns if c != out]
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
