@@ -1,13 +1,15 @@
 """Chat formatting: a finite-state machine over roles emits text segments with loss flags from a declarative template.
 
-``format_conversations`` gives one row per segment (header, body, footer of each turn); ``read_back`` parses the
-segments again, which is how the query proves that nothing is lost.  Both stream over rows sorted by conversation, so
-memory holds one batch of rows and not a conversation, however many turns it has.
+``format_conversations`` gives one row per segment (header, body, footer of each turn) with its place; ``read_back`` takes the
+text of the segments in that order, from any table and in any partitions, and parses it by the template's marks alone, which
+is how the query proves that nothing is lost.  Both stream over rows sorted by conversation, so memory holds one batch of
+rows, or one turn, and not a conversation, however many turns it has.
 
 Defined results: a null text counts as empty, a null role as the role ``""``, which no state accepts; rows with a null
 conversation id form one conversation; turns are ordered by turn (nulls first), ties by role and text; repeated rows
 stay repeated; a conversation that the machine rejects is formatted all the same, with ``valid`` false; extra columns
-are left out; an empty table gives an empty table.
+are left out; a very long text is one segment; text that does not parse is an error; a role's line
+break counts as its end; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -44,7 +46,7 @@ class Template:
 
 
 CHATML = Template()
-SEGMENTS = "conv_id long, turn_no long, part string, text string, loss boolean, state_ok boolean, last boolean"
+SEGMENTS = "conv_id long, turn_no long, place int, part string, text string, loss boolean, state_ok boolean, last boolean"
 _ESCAPE, _UNESCAPE = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 
 
@@ -69,9 +71,9 @@ def _segments(frames: Iterator[pd.DataFrame], t: Template) -> Iterator[pd.DataFr
         state, loss = role, role in t.loss_roles
         ok = good and (not last or state in t.accept)
         out = [
-            (conv, count, "header", t.open + escape(role) + t.after_role, False, ok, False),
-            (conv, count, "body", escape(text), loss, ok, False),
-            (conv, count, "footer", t.close + t.after_turn, False, ok, last),
+            (conv, count, 0, "header", t.open + escape(role) + t.after_role, False, ok, False),
+            (conv, count, 1, "body", escape(text), loss, ok, False),
+            (conv, count, 2, "footer", t.close + t.after_turn, False, ok, last),
         ]
         count += 1
         if last:
@@ -113,30 +115,67 @@ def format_conversations(df: DataFrame, template: Template = CHATML) -> DataFram
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean"
 
 
+def parse_turn(text: str, t: Template) -> tuple[str, str] | None:
+    """(role, text) of one formatted turn, still escaped; None where the marks are not in their places."""
+    end = t.close + t.after_turn
+    cut = text.find(t.after_role, len(t.open))
+    if not text.startswith(t.open) or not text.endswith(end) or cut < 0 or cut + len(t.after_role) > len(text) - len(end):
+        return None
+    role, body = text[len(t.open) : cut], text[cut + len(t.after_role) : len(text) - len(end)]
+    return None if "<|" in role or "<|" in body else (role, body)
+
+
 def _digest(frames: Iterator[pd.DataFrame], t: Template) -> Iterator[pd.DataFrame]:
-    """Reads roles and texts out of the formatted segments alone, with running hashes."""
-    turns, loss, n_turns, n_loss, n_chars = hashlib.sha256(), hashlib.sha256(), 0, 0, 0
+    """Parses the formatted text turn by turn, with running hashes; of the other columns it uses the loss mask alone."""
+    empty = object()
+    here: object = empty
+    text, masked = [], []  # of the turn that is not complete yet
+    turns, loss = hashlib.sha256(), hashlib.sha256()
+    n_turns = n_loss = n_chars = 0
+    state, good = t.start, True
+
+    def result() -> tuple:
+        if text:
+            raise ValueError(f"conversation {here}: the formatted text ends inside a turn")
+        return here, n_turns, turns.hexdigest(), n_loss, loss.hexdigest(), n_chars, good and state in t.accept
+
     for frame in frames:
         out: list[tuple] = []
-        for conv, part, text, under, ok, last in zip(*(frame[c] for c in ("conv_id", "part", "text", "loss", "state_ok", "last")), strict=True):
-            n_chars += len(text)
-            if part == "header":
-                role = unescape(text[len(t.open) : len(text) - len(t.after_role)])
-                turns.update(f"{role}\n".encode())
-                n_turns += 1
-            elif part == "body":
-                plain = unescape(text)
-                turns.update(f"{plain}\n".encode())
-                if under:
-                    loss.update(plain.encode())
-                    n_loss += len(plain)
-            if last:
-                out.append((None if pd.isna(conv) else int(conv), n_turns, turns.hexdigest(), n_loss, loss.hexdigest(), n_chars, bool(ok)))
+        for conv, piece, under in zip(frame["conv_id"], frame["text"], frame["loss"], strict=True):
+            conv = None if pd.isna(conv) else int(conv)
+            if conv != here:
+                if here is not empty:
+                    out.append(result())
+                here, state, good = conv, t.start, True
                 turns, loss, n_turns, n_loss, n_chars = hashlib.sha256(), hashlib.sha256(), 0, 0, 0
+            n_chars += len(piece)
+            text.append(piece)
+            if under:
+                masked.append(piece)
+            if not piece.endswith(t.close + t.after_turn):
+                continue
+            found = parse_turn("".join(text), t)
+            if found is None:
+                raise ValueError(f"conversation {conv}: turn {n_turns} of the formatted text can't be parsed")
+            role, plain, learned = unescape(found[0]), unescape(found[1]), unescape("".join(masked))
+            text.clear()
+            masked.clear()
+            turns.update(f"{role}\n{plain}\n".encode())
+            loss.update(learned.encode())
+            n_turns, n_loss = n_turns + 1, n_loss + len(learned)
+            good, state = good and role in t.follow.get(state, ()), role
         if out:
-            yield pd.DataFrame(out, columns=[x.split()[0] for x in DIGEST.split(", ")]).astype({"conv_id": "Int64"})
+            yield _result(out)
+    if here is not empty:
+        yield _result([result()])
+
+
+def _result(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=[x.split()[0] for x in DIGEST.split(", ")]).astype({"conv_id": "Int64"})
 
 
 def read_back(segments: DataFrame, template: Template = CHATML) -> DataFrame:
-    """One row per conversation from the segments as :func:`format_conversations` gave them (same partitions and order)."""
-    return segments.mapInPandas(lambda frames: _digest(frames, template), DIGEST)
+    """One row per conversation from the segments of :func:`format_conversations`, in whatever order and partitions they come."""
+    rows = segments.select(F.coalesce("conv_id", F.lit(0)).alias("id"), F.col("conv_id").isNull().alias("no_id"), "conv_id", "turn_no", "place", "text", "loss")
+    rows = rows.repartition("no_id", "id").sortWithinPartitions("no_id", "id", "turn_no", "place").select("conv_id", "text", "loss")
+    return rows.mapInPandas(lambda frames: _digest(frames, template), DIGEST)
