@@ -8,7 +8,7 @@ covers most letters is the text's language.
 
 Learned counts come from about ``max_rows`` rows of each language (those whose hashed key is least); whole texts of
 these rows are counted on the executors, and the driver receives one number for each language and window bucket.
-Languages are at most ``MAX_LANGS``.  Every text is predicted whole.
+Every language that occurs is learned; the model takes 128 KiB for each.  Every text is predicted whole.
 
 Defined results: a null text, or one without letters, is ``und`` with score 0; ties go to the language that sorts
 first; with nothing to learn from, everything is ``und``; repeated rows are labelled alike; other columns are carried
@@ -26,7 +26,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BITS = 15
-MAX_LANGS = 64
 CACHE = 300_000
 #: Words (times languages) whose path is found at once.
 CELLS = 8_000_000
@@ -156,7 +155,7 @@ def train(docs: DataFrame, lang: str = "lang", key: str = "doc_id", text: str =
     """Counts windows in about ``max_rows`` rows of each language of ``docs``; rows without language or text teach nothing."""
     rows = docs.select(F.col(f"`{key}`").cast("string").alias("k"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text"))
     rows = rows.where("k is not null and lang is not null and text is not null")
-    found = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
+    found = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()
     langs = tuple(sorted(r["lang"] for r in found))
     if not langs:
         return Model((), np.zeros((1 << bits, 0)), np.zeros((len(NAMES), 0), bool), penalty)
@@ -165,7 +164,7 @@ def train(docs: DataFrame, lang: str = "lang", key: str = "doc_id", text: str =
     chosen = rows.where(F.col("lang").isin(*langs) & (F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < share[F.col("lang")]))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(langs), (1 << bits) + len(NAMES)), np.int64)
+        total = np.zeros((len(langs), (1 << bits) + len(NAMES)), np.int32)
         place = {x: i for i, x in enumerate(langs)}
         for batch in batches:
             for name, body in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -174,13 +173,13 @@ def train(docs: DataFrame, lang: str = "lang", key: str = "doc_id", text: str =
                     total[place[name], : 1 << bits] += np.bincount(windows(words, bits)[1], minlength=1 << bits)
                     total[place[name], 1 << bits :] += np.bincount(script_of(words), minlength=len(NAMES))
         row, bucket = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(row.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(total[row, bucket])], ["l", "b", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(row.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(total[row, bucket].astype(np.int64))], ["l", "b", "n"])
 
     got = chosen.select("lang", "text").mapInArrow(count, "l int, b int, n long").groupBy("l", "b").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros((len(langs), (1 << bits) + len(NAMES)))
     counts[got["l"], got["b"]] = got["n"]
     grams, scripts = counts[:, : 1 << bits] + 0.5, counts[:, 1 << bits :]
-    table = np.log(grams / grams.sum(axis=1, keepdims=True)).T
+    table = np.log(grams / grams.sum(axis=1, keepdims=True)).T.astype(np.float32)
     allowed = (scripts >= 0.01 * np.maximum(1, scripts.sum(axis=1, keepdims=True))).T & (scripts.T > 0)
     return Model(langs, np.ascontiguousarray(table), allowed, penalty)
 
