@@ -12,11 +12,17 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a local master (tests) gets a folder of its own; on a cluster that would lose data, so it is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.conf.get("tidesort.work.dir", None)
         if not found:
+            master = spark.sparkContext.master
+            if master != "local" and not master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             found = tempfile.mkdtemp(prefix="tidesort-")
             atexit.register(shutil.rmtree, found, True)
             spark.conf.set("tidesort.work.dir", found)
@@ -39,11 +45,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Nodes of more links than this are dealt over SALTS tasks, unless there are so many links that HEAVY nodes would exceed it.
+LINKS, HEAVY, SALTS = 1000, 10_000, 64
+
+
+def _with_low(e: DataFrame, low: DataFrame, total: int) -> DataFrame:
+    """``e`` (a, b) with m and n of ``low`` (a, m, n: one row a node); nodes of very many links are salted.
+
+    Heavy nodes have more than max(LINKS, total / HEAVY) of the ``total`` rows, so at most HEAVY are broadcast.
+    """
+    most = max(LINKS, total // HEAVY)
+    heavy = low.where(F.col("n") > most).select("a", F.lit(SALTS).alias("salts"))
+    deal = lambda df: df.join(F.broadcast(heavy), "a", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    left = deal(e).withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
+    right = deal(low).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("a", "salt", "m")
+    return left.join(right, ["a", "salt"]).select("a", "b", "m")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp): for each node of ``edges`` (a, b: long) the least node that links reach.
 
-    Alternating large and small stars; joins are on a key that is unique on one side, so a node with very many links
-    is a skewed join that can be split, and each round's edges are written to the shared folder.
+    Alternating large and small stars; a node of very many links is spread over tasks in the joins and combined before the
+    shuffle in the minima.  Each round's edges are written to the shared folder.
     """
     shared_dir(edges.sparkSession)
 
@@ -55,10 +78,10 @@ def components(edges: DataFrame) -> DataFrame:
     before = mark(e)
     while before[0]:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
+        low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        large = _with_low(both, low, 2 * before[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct().checkpoint()
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = _with_low(large, low, 2 * before[0])
         e = small.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).distinct().checkpoint()
         after = mark(e)
         if after == before:

@@ -1,24 +1,25 @@
-"""N-gram Jaccard join: exact links between shingle sets, found with a count-vector R-tree.
+"""N-gram Jaccard join: exact links between shingle sets, found with count-vector R-trees.
 
 Shingles (``width`` words) are hashed into groups, and a set becomes the vector of its group counts.  For two sets the
 summed coordinate minima bound the overlap from above, so the summed differences bound the symmetric difference from
 below.  That bound is used twice:
 
-1. *Cells*, the upper level, spread the points over the cluster.  The groups are dealt into K blocks of coordinates.
-   Sets that link differ in at most ``D = (1 - t) / (1 + t) (|A| + |B|)`` shingles, hence in at most D blocks; with
-   K > D some block's counts agree entirely.  A set therefore visits one cell for each of its blocks, keyed by
-   the hash of the block's counts, in the size band of the larger partner.  No linked pair misses a common cell.
-2. *R-trees*, the lower level, hold the points of the cells of one leader (their least member).  Leaves are packed by size; a pair of leaves, then a pair of
-   points, survives only if the summed minima of coordinates (for leaves: of their upper corners) reach the overlap
-   that the sizes need.
+1. *Cells* spread the points over the cluster.  The groups are dealt into K blocks of coordinates.  Sets that link differ
+   in at most ``D = (1 - t) / (1 + t) (|A| + |B|)`` shingles, hence in at most D blocks; with K > D some block agrees
+   entirely.  A set therefore visits one cell for each of its blocks, keyed by the hash of what the block holds, in the
+   size band of the larger partner.  No linked pair misses a common cell.  The cells of one leader (their least member)
+   hold much the same members and are searched as one group, so a pair that meets in many cells is looked at once.
+2. *R-trees* (:mod:`tidesort.llm.rtree`) index the count vectors of a group.  Each member is searched in the tree, its
+   leader first; a node is left out when its corners rule a link out or when all below it is linked with the member
+   already; surviving points are verified on the whole sets.  Only links that join two classes leave the task, so a group
+   of S near copies gives at most S - 1 rows, and most of its pairs are never looked at.
 
-Surviving pairs are verified on the whole sets.  Large groups don't make pairs: equal sets are one node from the start;
-each cell first tests its members against its leader; components formed that way are contracted, and only groups that
-still hold several components go to the R-trees, which leave out pairs inside a component.  Groups of many points are
-dealt into pairs of pages of about ``PAGE`` points at most, so no task holds a whole hot group.
+A group of more than ``PAGE`` members (or ``WEIGHT`` shingles) is dealt into pages by hash, each searched as above together
+with the leader.  What the pages leave apart is searched across pages: members outside the largest class of the group
+visit the other pages.  No link is lost, and no task holds more than a page.
 
 Hashes are 64 bits.  Blocks are counted so that a set fills more blocks than can differ; by chance of hashing a set fails
-this with a probability of about 1e-8 (``slack`` below), and two different sets get one node with about N^2 / 2^65.
+this with a probability of about 1e-8 (``bands`` below), and two different sets get one node with about N^2 / 2^65.
 
 Defined results: a null or blank text has no shingles and is alone; fewer words than ``width`` make one shingle; repeated rows
 and copies share their component; a null key never becomes a component's name unless all its rows have none; other
@@ -34,14 +35,15 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidesort.llm.graph import components, written
+from tidesort.llm.rtree import CountTree
 
 GROUPS = 256
-PAGE = 1024
-LEAF = 16
+PAGE = 4096
+WEIGHT = 4_000_000
 CACHE = 500_000
 #: Ids up to this many are broadcast (8 to 16 MB); more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
@@ -67,12 +69,6 @@ class Rule:
         """How many blocks can differ for a set of ``n`` shingles and a partner that is no larger."""
         return (self.per - self.least) * 2 * n // (self.per + self.least)
 
-    def upper(self, band: int) -> int:
-        top = 1
-        for _ in range(band):
-            top = max(top + 1, int(top * self.growth))
-        return top
-
     def bands(self, n: int) -> list[tuple[int, int]]:
         """(band, K) of the bands in which a partner at least as large can lie, own band first."""
         out, most = [], n * self.per // self.least
@@ -132,24 +128,23 @@ class Shingles:
 
 
 def _texts(df: DataFrame, key: str, text: str) -> DataFrame:
-    return df.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    return df.select(F.col(f"`{key}`").alias("key"), body.alias("text"), F.xxhash64(body).alias("h"))
 
 
-def _points(rows: DataFrame, rule: Rule) -> DataFrame:
-    """(key, node, n, point): point holds the counts of GROUPS groups."""
-    kind = pa.list_(pa.int32())
+def _nodes(rows: DataFrame, rule: Rule) -> DataFrame:
+    """(key, h, node, n): the number and the size of each row's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Shingles(rule)
         for batch in batches:
-            nodes, sizes, points = [], [], []
+            nodes, sizes = [], []
             for own in s.sets(batch.column(1).to_pylist()):
                 nodes.append(s.node(own))
                 sizes.append(len(own))
-                points.append(np.bincount((own & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(points, kind)], ["key", "node", "n", "point"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64())], ["key", "h", "node", "n"])
 
-    return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, node long, n long, point array<int>")
+    return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, h long, node long, n long")
 
 
 def _stars(rows: DataFrame, rule: Rule) -> DataFrame:
@@ -162,7 +157,7 @@ def _stars(rows: DataFrame, rule: Rule) -> DataFrame:
         s, seen = Shingles(rule), set()
         for batch in batches:
             cells, nodes = [], []
-            for own in s.sets(batch.column(1).to_pylist()):
+            for own in s.sets(batch.column(0).to_pylist()):
                 if len(own) and (node := s.node(own)) not in seen:
                     if len(seen) > CACHE:
                         seen.clear()
@@ -191,148 +186,214 @@ def _stars(rows: DataFrame, rule: Rule) -> DataFrame:
                 pairs = np.unique(np.stack([head[keep], v[keep]], axis=1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["leader", "node"])
 
-    visits = rows.select("key", "text").mapInArrow(visit, "cell long, node long")
+    visits = rows.select("text").mapInArrow(visit, "cell long, node long")
     return visits.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(lead, "leader long, node long").distinct()
 
 
-def _enough(shared: Column, n: Column, m: Column, rule: Rule) -> Column:
-    return F.lit(rule.per) * shared >= F.lit(rule.least) * (n + m - shared)
-
-
 def _sets(rows: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
-    """(node, own): the shingle sets of the nodes of ``wanted`` (node, key)."""
+    """(node, own): the shingle sets of the nodes of ``wanted`` (node, key, h: a row that has the set)."""
     few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    picked = rows.join(F.broadcast(wanted) if few else wanted, rows["key"].eqNullSafe(wanted["key"])).select(wanted["node"], rows["text"])
+    rep = wanted.select(F.col("key").alias("rep_key"), F.col("h").alias("rep_h"))
+    picked = rows.join(F.broadcast(rep) if few else rep, (rows["h"] == F.col("rep_h")) & rows["key"].eqNullSafe(F.col("rep_key"))).select("h", "text")
     kind = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = Shingles(rule)
+        s, seen = Shingles(rule), set()
         for batch in batches:
-            nodes, sets = [], []
-            for node, own in zip(batch.column(0).to_pylist(), s.sets(batch.column(1).to_pylist()), strict=True):
-                if s.node(own) == node:  # a key may stand at several texts
-                    nodes.append(node)
-                    sets.append(own.astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, kind)], ["node", "own"])
+            fresh = []
+            for i, h in enumerate(batch.column(0).to_pylist()):
+                if h not in seen:
+                    fresh.append(i)
+                    if len(seen) > CACHE:
+                        seen.clear()
+                    seen.add(h)
+            for k in range(0, len(fresh), 512):
+                sets = list(s.sets(batch.column(1).take(pa.array(fresh[k : k + 512])).to_pylist()))
+                edge = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                flat = pa.array(np.concatenate(sets).view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array([s.node(x) for x in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(edge), flat, type=kind)], ["node", "own"])
 
     return picked.mapInArrow(run, "node long, own array<long>").dropDuplicates(["node"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (a, b) whose whole sets link."""
-    left = sets.select(F.col("node").alias("a"), F.col("own").alias("own_a"))
-    right = sets.select(F.col("node").alias("b"), F.col("own").alias("own_b"))
-    both = pairs.join(right, "b").join(left, "a")
-    return both.where(_enough(F.size(F.array_intersect("own_a", "own_b")), F.size("own_a"), F.size("own_b"), rule)).select("a", "b")
+class _Group:
+    """The members of one group (or page) in a tree, with their whole sets."""
 
+    def __init__(self, rule: Rule, nodes: np.ndarray, flat: np.ndarray, sizes: np.ndarray, labels: np.ndarray):
+        self.rule, self.alias = rule, {}
+        self.tree = CountTree(points_of(flat, sizes), sizes, rule.least, rule.per)
+        ends = np.cumsum(sizes)
+        self.nodes, self.labels = nodes[self.tree.order], labels[self.tree.order]
+        self.sets = [flat[e - n : e] for e, n in zip(ends[self.tree.order], self.tree.sizes, strict=True)]
+        self.tree.label(self.labels)
 
-def _tree_pairs(members: DataFrame, rule: Rule) -> DataFrame:
-    """(a, b): pairs of different components in one page pair whose bound reaches the needed overlap.
+    def found(self, own: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Which of the members ``at`` link with the set ``own``."""
+        out = []
+        for k in range(0, len(at), 256):
+            part = at[k : k + 256]
+            values = np.concatenate([self.sets[j] for j in part])
+            place = np.minimum(np.searchsorted(own, values), len(own) - 1)
+            shared = np.add.reduceat((own[place] == values).astype(np.int64), np.cumsum([0, *self.tree.sizes[part][:-1]]))
+            out.append(part[self.rule.per * shared >= self.rule.least * (len(own) + self.tree.sizes[part] - shared)])
+        return np.concatenate(out) if out else at
+
+    def label(self, x: int) -> int:
+        while x in self.alias:
+            x = self.alias[x]
+        return x
+
+    def merge(self, label: int, at: np.ndarray) -> np.ndarray:
+        """Joins the classes of the members ``at`` to ``label``; the first member of each class that was another."""
+        other, first = np.unique(self.labels[at], return_index=True)
+        for x in other:
+            self.alias[int(x)] = label
+        self.labels[np.isin(self.labels, other)] = label
+        self.tree.label(self.labels)
+        return at[first]
+
+    def links(self, leader: int) -> tuple[np.ndarray, np.ndarray]:
+        """Links that join the classes of the group's members; the leader is searched first."""
+        a, b = [], []
+        head = int(np.flatnonzero(self.nodes == leader)[0])
+        for k in range(-1, len(self.nodes)):
+            i = head if k < 0 else k
+            at = self.tree.near(self.tree.points[i], int(self.tree.sizes[i]), int(self.labels[i]))
+            at = at[at > k]  # the others have looked at this one
+            if len(at) and len(at := self.found(self.sets[i], at)):
+                at = self.merge(int(self.labels[i]), at)
+                a.append(np.full(len(at), self.nodes[i]))
+                b.append(self.nodes[at])
+        none = np.zeros(0, np.int64)
+        return np.concatenate(a or [none]), np.concatenate(b or [none])
 
-    ``members``: leader, pa, pb (page pair), side (0: in page pa, 1: in page pb), node, comp, n, point.
-    """
 
-    def join(n: np.ndarray, comp: np.ndarray, side: np.ndarray, point: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
-        order = np.lexsort((point[:, 0], n))  # leaves of like sizes
-        n, comp, side, point = n[order], comp[order], side[order], point[order]
-        first = np.arange(0, len(n), LEAF)
-        top = np.maximum.reduceat(point, first, axis=0)
-        low_n, high_n = n[first], n[np.minimum(first + LEAF, len(n)) - 1]
-        left, right = [], []
-        for i, at in enumerate(first):
-            own = slice(at, min(at + LEAF, len(n)))
-            # leaves at or behind this one, whose sizes and corners allow a link
-            may = np.flatnonzero(rule.per * high_n[i] >= rule.least * low_n[i:]) + i
-            bound = np.minimum(top[i], top[may]).sum(axis=1)
-            may = may[(rule.per + rule.least) * bound >= rule.least * (low_n[i] + low_n[may])]
-            if not len(may):
-                continue
-            cols = np.concatenate([np.arange(first[j], min(first[j] + LEAF, len(n))) for j in may])
-            shared = np.minimum(point[own, None, :], point[None, cols, :]).sum(axis=2)
-            good = (rule.per + rule.least) * shared >= rule.least * (n[own, None] + n[None, cols])
-            good &= (comp[own, None] != comp[None, cols]) & (np.arange(own.start, own.stop)[:, None] < cols[None, :])
-            if not same:
-                good &= side[own, None] != side[None, cols]
-            x, y = np.nonzero(good)
-            left.append(order[x + at])
-            right.append(order[cols[y]])
-        none = np.zeros(0, np.int64)
-        return np.concatenate(left or [none]), np.concatenate(right or [none])
+def points_of(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Group counts of sets that stand one after another."""
+    at = np.repeat(np.arange(len(sizes)), sizes) * GROUPS + (flat & np.uint64(GROUPS - 1)).astype(np.int64)
+    return np.bincount(at, minlength=len(sizes) * GROUPS).reshape(-1, GROUPS).astype(np.int32)
+
+
+def _read(parts: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(node, flat values, sizes, comp) of rows."""
+    get = lambda c: np.concatenate([p.column(c).to_numpy() for p in parts])
+    flat = np.concatenate([p.column("own").flatten().to_numpy() for p in parts]).view(np.uint64)
+    return get("node"), flat, np.concatenate([p.column("own").value_lengths().to_numpy() for p in parts]).astype(np.int64), get("comp")
+
+
+def _tree_links(members: DataFrame, rule: Rule, across: bool = False) -> DataFrame:
+    """(a, b): links that join classes, from the trees of all groups.
+
+    ``members``: leader, page, visit, home, big, node, comp, own.  Rows with ``visit`` 0 live on the page and are searched among
+    each other; ``across`` pages, visitors (``visit`` 1, from page ``home``) are searched in the page's tree instead, and of
+    two pages that could visit each other the later one is visited.  Members of the group's largest class (``big``) never travel.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def work(table: pa.Table) -> pa.RecordBatch | None:
-            if not table.num_rows:
-                return None
-            get = lambda c: table.column(c).to_numpy()
-            node, comp, n, side = get("node"), get("comp"), get("n"), get("side")
-            point = np.array(table.column("point").combine_chunks().flatten()).reshape(-1, GROUPS)
-            leader, pa_, pb_ = get("leader"), get("pa"), get("pb")
-            edge = np.flatnonzero(np.r_[True, (leader[1:] != leader[:-1]) | (pa_[1:] != pa_[:-1]) | (pb_[1:] != pb_[:-1])])
-            a, b = [], []
-            for k, at in enumerate(edge):
-                own = slice(at, edge[k + 1] if k + 1 < len(edge) else len(node))
-                x, y = join(n[own], comp[own], side[own], point[own], bool(pa_[at] == pb_[at]))
-                if len(x):
-                    a.append(np.minimum(node[own][x], node[own][y]))
-                    b.append(np.maximum(node[own][x], node[own][y]))
-            if not a:
-                return None
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+        here, held, group, big = None, [], None, None
+        out_a, out_b, waiting = [], [], 0
+
+        def give(a: np.ndarray, b: np.ndarray) -> None:
+            nonlocal waiting
+            out_a.append(a)
+            out_b.append(b)
+            waiting += len(a)
+
+        def emit() -> pa.RecordBatch:
+            nonlocal waiting
+            batch = pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
+            out_a.clear()
+            out_b.clear()
+            waiting = 0
+            return batch
+
+        def finish() -> None:
+            if not across and sum(p.num_rows for p in held) > 1:
+                give(*_Group(rule, *_read(held)).links(here[0]))
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held.append(batch)
-            table = pa.Table.from_batches(held)
-            key = [table.column(c).to_numpy() for c in ("leader", "pa", "pb")]
-            tail = np.flatnonzero(np.logical_or.reduce([k != k[-1] for k in key]))  # rows before the last group
-            done = int(tail[-1]) + 1 if len(tail) else 0
-            if done and (out := work(table.slice(0, done))) is not None:
-                yield out
-            held = table.slice(done).combine_chunks().to_batches()
-        if held and (out := work(pa.Table.from_batches(held))) is not None:
-            yield out
-
-    return members.repartition("leader", "pa", "pb").sortWithinPartitions("leader", "pa", "pb").mapInArrow(run, "a long, b long").distinct()
+            keys = [batch.column(c).to_numpy() for c in ("leader", "page", "visit")]
+            edge = np.flatnonzero(np.r_[True, np.logical_or.reduce([x[1:] != x[:-1] for x in keys])])
+            for e, at in enumerate(edge):
+                part = batch.slice(at, (edge[e + 1] if e + 1 < len(edge) else batch.num_rows) - at)
+                if (now := (int(keys[0][at]), int(keys[1][at]))) != here:
+                    finish()
+                    here, held, group = now, [], None
+                if not keys[2][at]:
+                    held.append(part)
+                    continue
+                if group is None and held:
+                    group = _Group(rule, *_read(held))
+                    big = np.concatenate([p.column("big").to_numpy(zero_copy_only=False) for p in held])[group.tree.order]
+                if group is not None:
+                    give(*_visited(group, big, here[1], part))
+            if waiting >= 8192:
+                yield emit()
+        finish()
+        if waiting:
+            yield emit()
+
+    dealt = members.repartition("leader", "page").sortWithinPartitions("leader", "page", "visit")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _visited(group: _Group, big: np.ndarray, page: int, part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    nodes, flat, sizes, comps = _read([part])
+    points, ends, home = points_of(flat, sizes), np.cumsum(sizes), part.column("home").to_numpy()
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i, node in enumerate(nodes):
+        label = group.label(int(comps[i]))
+        own = flat[ends[i] - sizes[i] : ends[i]]
+        at = group.tree.near(points[i], int(sizes[i]), label)
+        at = at[big[at] | (home[i] < page)]
+        if len(at) and len(at := group.found(own, at)):
+            at = group.merge(label, at)
+            a.append(np.full(len(at), node))
+            b.append(group.nodes[at])
+    return np.concatenate(a), np.concatenate(b)
 
 
 def join_documents(df: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component): one row for each row of ``df``; component is the least key that links reach."""
     rows = _texts(df, key, text)
-    points = written(_points(rows, rule), "points")
-    nodes = points.where("n > 0").groupBy("node").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("point").alias("point"))
+    docs = written(_nodes(rows, rule), "nodes")
+    least = F.min(F.struct("key", "h"))
+    nodes = docs.where("n > 0").groupBy("node").agg(F.min("key").alias("key"), least["key"].alias("rep"), least["h"].alias("h"), F.min("n").alias("n"))
     stars = written(_stars(rows, rule), "stars")
-    first = stars.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    a = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("point").alias("p_a"))
-    b = nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("point").alias("p_b"))
-    bound = F.aggregate(F.zip_with("p_a", "p_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    first = first.join(b, "b").join(a, "a").where(_enough(bound, F.col("n_a"), F.col("n_b"), rule)).select("a", "b").checkpoint()
-    links = _link(first, rows, nodes, rule)
-    comps = components(links)
-
-    # The cells of one leader hold much the same members: they are searched as one group, so that a pair that meets in
-    # many cells is looked at once.  Groups of one component need no search.
-    both = stars.union(stars.select("leader", F.col("leader").alias("node")).distinct())
-    placed = both.join(comps, "node", "left").select("leader", "node", F.coalesce("comp", "node").alias("comp"))
-    open_groups = placed.groupBy("leader").agg(F.count("*").alias("size"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y")
-    pages = F.ceil(F.col("size") / PAGE).cast("int")
-    left = placed.join(open_groups.select("leader", pages.alias("pages")), "leader").join(nodes.select("node", "n", "point"), "node")
-    page = F.pmod(F.xxhash64("node"), F.col("pages")).cast("int")
-    left = left.withColumn("page", page).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pages") - 1)))
-    members = left.select("leader", F.least("page", "other").alias("pa"), F.greatest("page", "other").alias("pb"), (F.col("page") > F.col("other")).cast("int").alias("side"), "node", "comp", "n", "point")
-    second = _tree_pairs(members, rule).join(first, ["a", "b"], "left_anti").checkpoint()
-    links = links.union(_link(second, rows, nodes, rule)).checkpoint()
 
+    groups = stars.groupBy("leader").agg(F.count("*").alias("size")).join(nodes.select(F.col("node").alias("leader"), "n"), "leader")
+    pages = F.greatest(F.ceil((F.col("size") + 1) / PAGE), F.ceil((F.col("size") + 1) * F.col("n") / WEIGHT)).cast("int")
+    groups = written(groups.select("leader", pages.alias("pages")), "groups")
+    large = groups.where("pages > 1")
+    paged = not large.isEmpty()
+    page = F.pmod(F.xxhash64("node"), F.coalesce("pages", F.lit(1))).cast("int").alias("page")
+    # Groups of several pages are few: a few thousand links each at the least, and they are broadcast only up to a checked number.
+    few = F.broadcast(large) if paged and large.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else large
+    members = stars.join(few, "leader", "left").select("leader", page, "node") if paged else stars.select("leader", F.lit(0).alias("page"), "node")
+    leaders = groups.select("leader", F.explode(F.sequence(F.lit(0), F.col("pages") - 1)).alias("page"), F.col("leader").alias("node"))
+
+    wanted = stars.select("node").union(stars.select("leader")).distinct().join(nodes, "node").select("node", F.col("rep").alias("key"), "h")
+    own = written(_sets(rows, wanted, rule), "sets")
+    plain = [F.lit(0).alias("visit"), F.lit(0).alias("home"), F.lit(False).alias("big")]
+    links = written(_tree_links(members.union(leaders).join(own, "node").select("leader", "page", *plain, "node", F.col("node").alias("comp"), "own"), rule), "links")
     comps = components(links)
-    own = nodes.select("node", "key").join(comps, "node", "left").select("node", "key", F.coalesce("comp", "node").alias("comp"))
-    least = own.groupBy("comp").agg(F.min("key").alias("component"))
-    named = own.join(least, "comp").select("node", "component")
-    out = points.select("key", "node", "n").join(named, "node", "left")
-    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("key")).alias("component"))
-
 
-def _link(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "key"), "node")
-    return _verified(pairs, _sets(rows, wanted, rule), rule).checkpoint()
+    if paged:
+        found = members.join(large.select("leader", "pages"), "leader").join(comps, "node", "left").select("leader", "page", "pages", "node", F.coalesce("comp", "node").alias("comp"))
+        found = written(found, "members")
+        sizes = found.groupBy("leader", "comp").agg(F.count("*").alias("size"))
+        apart = sizes.groupBy("leader").agg(F.max_by("comp", F.struct("size", "comp")).alias("largest"), F.count("*").alias("classes")).where("classes > 1")
+        found = found.join(apart, "leader").withColumn("big", F.col("comp") == F.col("largest"))
+        stay = found.select("leader", "page", F.lit(0).alias("visit"), F.col("page").alias("home"), "big", "node", "comp")
+        travel = found.where("not big").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pages") - 1))).where("other <> page")
+        travel = travel.select("leader", F.col("other").alias("page"), F.lit(1).alias("visit"), F.col("page").alias("home"), "big", "node", "comp")
+        across = _tree_links(stay.union(travel).join(own, "node").select("leader", "page", "visit", "home", "big", "node", "comp", "own"), rule, across=True)
+        comps = components(links.union(across))
+
+    own_comp = nodes.select("node", "key").join(comps, "node", "left").select("node", "key", F.coalesce("comp", "node").alias("comp"))
+    least_key = own_comp.groupBy("comp").agg(F.min("key").alias("component"))
+    named = own_comp.join(least_key, "comp").select("node", "component")
+    out = docs.select("key", "node", "n").join(named, "node", "left")
+    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("key")).alias("component"))
