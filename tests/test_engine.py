@@ -277,3 +277,33 @@ def test_micro_batches_are_ordered(spark, tmp_path):
 def test_order_without_a_name_resolves_functions(spark):
     order = Order((lambda df: -F.col("v"),))
     assert values(with_position(ints(spark, [1, 3, 2]), order), "v") == [3, 2, 1]
+
+
+def test_user_sinks_get_rows_in_order(spark):
+    class ListSink:
+        def __init__(self, partition):
+            self.partition, self.rows = partition, []
+
+        def write(self, row):
+            if row.v < 0:
+                raise ValueError("negative")
+            self.rows.append(row.v)
+
+        def close(self):
+            return self.partition, self.rows
+
+    df = spark.createDataFrame([(v * 37 % 1000,) for v in range(1000)], "v long").repartition(5)
+    spec = SortSpec().key("v")
+    parts = spec.write_with(df, ListSink)
+    assert [p for p, _ in parts] == sorted(p for p, _ in parts) and [v for _, rows in parts for v in rows] == list(range(1000))
+    with pytest.raises(sinks.SortSinkError, match="negative"):
+        spec.write_with(spark.createDataFrame([(-1,)], "v long"), ListSink)
+
+
+def test_formats_keep_bytes(spark):
+    from tidesort.sources.records import from_rows
+
+    rows = [(b"a", bytes(range(256)), bytes(range(255, -1, -1)))]
+    out = SortSpec().sort_by_illumina().lossy_n().binned_quality().run(from_rows(spark, rows)).first()
+    assert bytes(out.sequence) == bytes(b if chr(b) in "ACGTacgt" else 78 for b in range(256)) and len(out.quality) == 256 and bytes(out.quality)[:128] == bytes(range(255, 127, -1))
+    assert SortSpec().key("v").merge([], schema="v long").columns == ["v", "pos"] and SortSpec().key("v").merge([]).count() == 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -21,13 +22,19 @@ def bin_alphabets() -> tuple[str, str]:
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
-def lossy_n(sequence: Column | str) -> Column:
-    """Every base but A, C, G, T (either case) becomes N."""
-    return F.regexp_replace(_col(sequence), "[^ACGTacgt]", "N")
+def by_byte(value: Column | str, change: Callable[[Column], Column], kind: str = "string") -> Column:
+    """``change`` on text that has one character for each byte of ``value``; the result has type ``kind``."""
+    return F.encode(change(F.decode(_col(value).cast("binary"), "ISO-8859-1")), "ISO-8859-1").cast(kind)
 
 
-def binned_quality(quality: Column | str) -> Column:
-    return F.translate(_col(quality), *bin_alphabets())
+def lossy_n(sequence: Column | str, kind: str = "string") -> Column:
+    """Every byte but A, C, G, T (either case) becomes N, so the length stays."""
+    return by_byte(sequence, lambda c: F.regexp_replace(c, "[^ACGTacgt]", "N"), kind)
+
+
+def binned_quality(quality: Column | str, kind: str = "string") -> Column:
+    """Other bytes than the binned ones stay as they are."""
+    return by_byte(quality, lambda c: F.translate(c, *bin_alphabets()), kind)
 
 
 def short_name(name: Column | str) -> Column:
@@ -56,11 +63,31 @@ class Format:
             if value not in allowed:
                 raise ValueError(f"{value!r} is none of {sorted(allowed)}")
 
+    @property
+    def plain(self) -> bool:
+        """Whether no value changes."""
+        return self.sequence in ("raw", "exact") and self.quality == "raw" and self.name in ("raw", "split")
+
     def apply(self, df: DataFrame) -> DataFrame:
         if self.sequence == "lossy_n":
-            df = df.withColumn("sequence", lossy_n("sequence"))
+            df = df.withColumn("sequence", lossy_n("sequence", df.schema["sequence"].dataType.simpleString()))
         if self.quality != "raw":
-            df = df.withColumn("quality", binned_quality("quality") if self.quality == "binned" else F.lit("").cast(df.schema["quality"].dataType))
+            df = df.withColumn("quality", binned_quality("quality", df.schema["quality"].dataType.simpleString()) if self.quality == "binned" else F.lit("").cast(df.schema["quality"].dataType))
         if self.name == "omit":
             df = df.withColumn("name", F.lit("").cast(df.schema["name"].dataType))
         return df
+
+
+@dataclass(frozen=True)
+class UserFormat:
+    """A format of the user's own: ``change`` maps ordered rows to what a run of that format gives back.
+
+    It must be a projection or a filter-free narrow function of rows (columns may be of any types, order and number of rows
+    stay).  ``plain`` says that it changes no value, so that duplicates may be dropped before it.
+    """
+
+    change: Callable[[DataFrame], DataFrame]
+    plain: bool = False
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        return self.change(df)

@@ -49,8 +49,8 @@ def first_of_key(df: DataFrame, order: Order, columns: tuple[str, ...]) -> DataF
 def fold(fixed_df: DataFrame, equal: Callable[[dict, dict], bool]) -> DataFrame:
     """Keeps a row unless ``equal(last kept row, row)``.
 
-    What is kept depends on all rows before, so this is one task; it streams the ordered partitions and holds one
-    row.  It is for predicates that are no equivalence; for keys use columns.
+    What is kept depends on all rows before, so this is one task; it sorts the rows by partition and place (sorted runs that
+    spill to disk) and holds one row.  It is for predicates that are no equivalence; for keys use columns.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -64,7 +64,9 @@ def fold(fixed_df: DataFrame, equal: Callable[[dict, dict], bool]) -> DataFrame:
                     last = row
             yield frame[pd.Series(keep, index=frame.index, dtype=bool)]
 
-    return fixed_df.coalesce(1).mapInPandas(run, fixed_df.schema)
+    at = "__at"
+    in_order = fixed_df.withColumn(at, F.monotonically_increasing_id()).repartition(1).sortWithinPartitions(at).drop(at)
+    return in_order.mapInPandas(run, fixed_df.schema)
 
 
 def reduce_by_key(df: DataFrame, keys: list[Column | str], *aggregates: Column) -> DataFrame:

@@ -28,7 +28,8 @@ def resolve(key: ColumnLike, df: DataFrame) -> Column:
 
 
 def _text(c: Column | str) -> Column:
-    return (F.col(c) if isinstance(c, str) else c).cast("string")
+    """One character for each byte."""
+    return F.decode((F.col(c) if isinstance(c, str) else c).cast("binary"), "ISO-8859-1")
 
 
 def base_digits(sequence: Column | str, width: int) -> Column:
@@ -38,7 +39,7 @@ def base_digits(sequence: Column | str, width: int) -> Column:
     """
     bases = 4 * width
     padded = 32 * -(-bases // 32)
-    clean = F.regexp_replace(F.upper(F.substring(_text(sequence), 1, bases)), "[^ACGT]", "A")
+    clean = F.regexp_replace(F.translate(F.substring(_text(sequence), 1, bases), "acgt", "ACGT"), "[^ACGT]", "A")
     return F.translate(F.rpad(clean, padded, "A"), "ACGT", "0123")
 
 

@@ -27,6 +27,9 @@ def use_shared_dir(spark: SparkSession) -> None:
     if spark.sparkContext.getCheckpointDir() is None:
         found = spark.conf.get("spark.checkpoint.dir", None)
         if not found:
+            master = spark.sparkContext.master
+            if master != "local" and not master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             found = tempfile.mkdtemp(prefix="tidesort-")
             atexit.register(shutil.rmtree, found, True)
         spark.sparkContext.setCheckpointDir(found)
@@ -45,7 +48,7 @@ def ranged(df: DataFrame, order: Order, partitions: int | None = None) -> DataFr
 
 
 def fixed(df: DataFrame) -> DataFrame:
-    """The partitions of ``df`` as they are, in shared storage."""
+    """The partitions of ``df`` as they are, in shared storage.  This runs ``df`` at once, before any action on the result."""
     use_shared_dir(df.sparkSession)
     return df.checkpoint()
 

@@ -28,7 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def reads(spark: SparkSession, sf_dir: str, mixed: bool = False) -> DataFrame:
-    made = spark.sql(READS_SQL.replace("{S}", "string").replace("FROM lineitem", "FROM {lineitem}"), lineitem=table(spark, sf_dir, "lineitem"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    few, cores = lines.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism
+    # A small file is one task; the records are dear to make, so their keys are dealt out first.
+    lines = lines.repartition(cores) if few < cores else lines
+    made = spark.sql(READS_SQL.replace("{S}", "string").replace("FROM lineitem", "FROM {lineitem}"), lineitem=lines)
     if mixed:
         made = spark.sql(MIXED_SQL.replace("FROM reads", "FROM {reads}"), reads=made)
     return made.select("name", "sequence", "quality")
@@ -130,6 +134,10 @@ def _tables() -> dict[str, tuple[Query, str]]:
         lambda spark, d: merge_keyed(split(spark, d, 3), F.floor(F.col("o_custkey") / 10), orders.natural("o_custkey")),
         "SELECT o_orderkey, o_custkey, (o_custkey // 10)::BIGINT AS key, row_number() OVER (ORDER BY o_custkey // 10, o_custkey, o_orderkey) AS pos FROM orders",
     )
+    out["merge_no_run"] = (
+        lambda spark, d: merge_sorted([], orders.natural("o_custkey"), schema=table(spark, d, "orders").select("o_orderkey", "o_custkey").schema),
+        "SELECT o_orderkey, o_custkey, 0::BIGINT AS pos FROM orders WHERE false",
+    )
     top = "SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice, row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey) AS pos FROM lineitem"
 
     def topk(spark: SparkSession, d: str) -> DataFrame:
@@ -212,6 +220,30 @@ def _records() -> dict[str, tuple[Query, str]]:
         k AS (SELECT *, n = 1 OR sequence <> lag(sequence) OVER w OR quality <> lag(quality) OVER w AS fresh FROM o WINDOW w AS (ORDER BY n))
         SELECT name, sequence, quality, row_number() OVER (ORDER BY n) AS pos FROM k WHERE fresh""",
     )
+    def foreign(spark: SparkSession, d: str) -> DataFrame:
+        """Records as bytes, with a character of two bytes in each sequence and quality."""
+        with_mark = lambda c: F.concat(F.substring(c, 1, 7), F.lit("\u00e9"), F.substring(c, 8, 200)).cast("binary").alias(c)
+        return reads(spark, d, True).select(F.col("name").cast("binary").alias("name"), with_mark("sequence"), with_mark("quality"))
+
+    marked = "SELECT name, substr(sequence, 1, 7) || 'é' || substr(sequence, 8) AS sequence, substr(quality, 1, 7) || 'é' || substr(quality, 8) AS quality FROM mixed"
+    out["codec_bytes"] = (
+        lambda spark, d: seq.lossy_n().binned_quality().run(foreign(spark, d)).select(F.hex("name").alias("name"), F.hex("sequence").alias("sequence"), F.hex("quality").alias("quality"), "pos"),
+        f"{READS}, m AS ({marked}), o AS (SELECT *, row_number() OVER (ORDER BY sequence, quality, name) AS pos FROM m) SELECT hex(name) AS name, hex(regexp_replace(replace(sequence, 'é', 'NN'), '[^ACGTacgt]', 'N', 'g')) AS sequence, hex({binned}) AS quality, pos FROM o",
+    )
+    foreign_digits = "translate(rpad(regexp_replace(upper(replace(substr(sequence, 1, 151), 'é', 'NN')), '[^ACGT]', 'A', 'g'), 152, 'A'), 'ACGT', '0123')"
+    out["packed_key_bytes"] = (
+        lambda spark, d: keys.ILLUMINA_KEY.attach(foreign(spark, d)).select(F.col("name").cast("string").alias("name"), F.hex("key").alias("key_hex")),
+        f"{READS}, m AS ({marked}) SELECT name, array_to_string(list_transform(range(76), lambda i: {nibble}), '') AS key_hex FROM (SELECT name, {foreign_digits} AS d FROM m)",
+    )
+    out["sort_with_key"] = (
+        lambda spark, d: seq.with_illumina_key().run(reads(spark, d)).select("name", "sequence", F.hex("key").alias("key_hex"), "pos"),
+        f"{READS}, o AS (SELECT *, {place} FROM r) SELECT name, sequence, array_to_string(list_transform(range(76), lambda i: {nibble}), '') AS key_hex, pos FROM (SELECT name, sequence, pos, translate(rpad(regexp_replace(upper(substr(sequence, 1, 152)), '[^ACGT]', 'A', 'g'), 152, 'A'), 'ACGT', '0123') AS d FROM o)",
+    )
+    own = transforms.UserFormat(lambda df: df.withColumn("quality", F.substring("quality", 1, 10)))
+    out["codec_user"] = (
+        lambda spark, d: seq.codec(own).run(reads(spark, d, True)),
+        f"{READS} SELECT name, sequence, substr(quality, 1, 10) AS quality, {place} FROM mixed",
+    )
     out["codec_omit_names_dedup_name"] = (
         lambda spark, d: SortSpec().sort_by_name().omit_names().dedup_by_name().run(reads(spark, d)),
         f"{READS} SELECT '' AS name, sequence, quality, 1::BIGINT AS pos FROM r ORDER BY r.name, sequence, quality LIMIT 1",

@@ -11,12 +11,13 @@ from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import DataFrame, Row
+from pyspark.sql.types import StructType
 
-from tidesort.functions.transforms import Format
+from tidesort.functions.transforms import Format, UserFormat
 from tidesort.operators import orders
 from tidesort.operators.dedup import BY_NAME, BY_SEQUENCE, BY_SEQUENCE_AND_QUALITY, IDENTITY, Dedup, is_global, ordered_distinct
-from tidesort.operators.keys import ColumnLike, KeyKind
-from tidesort.operators.merge import union_all
+from tidesort.operators.keys import ILLUMINA_KEY, LONG_READ_KEY, PAIRED_END_KEY, ColumnLike, KeyKind
+from tidesort.operators.merge import nothing, union_all
 from tidesort.operators.orders import Order
 from tidesort.operators.position import fixed, keep_first_of_runs, numbered, ranged
 from tidesort.sources import sinks
@@ -38,7 +39,8 @@ class MergeConfig:
 class SortSpec:
     order: Order | None = None
     dedup: Dedup = IDENTITY
-    format: Format = Format()
+    format: Format | UserFormat = Format()
+    keyer: tuple[KeyKind, str] | None = None
     custom: Callable[[DataFrame], DataFrame] | None = None
     strict: bool = True
     hints: dict[str, Any] = field(default_factory=dict)
@@ -92,9 +94,22 @@ class SortSpec:
         return replace(self, custom=transform)
 
     # -- values
-    def codec(self, fmt: Format) -> SortSpec:
+    def codec(self, fmt: Format | UserFormat) -> SortSpec:
         return replace(self, format=fmt)
 
+    def with_record_keyer(self, kind: KeyKind, name: str = "key") -> SortSpec:
+        """The derived key of each row that comes out, with its tag, as column ``name``."""
+        return replace(self, keyer=(kind, name))
+
+    def with_illumina_key(self, name: str = "key") -> SortSpec:
+        return self.with_record_keyer(ILLUMINA_KEY, name)
+
+    def with_paired_end_key(self, name: str = "key") -> SortSpec:
+        return self.with_record_keyer(PAIRED_END_KEY, name)
+
+    def with_long_read_key(self, name: str = "key") -> SortSpec:
+        return self.with_record_keyer(LONG_READ_KEY, name)
+
     def lossy_n(self) -> SortSpec:
         return replace(self, format=replace(self.format, sequence="lossy_n"))
 
@@ -165,9 +180,8 @@ class SortSpec:
         """Orders raw values, then applies the format, then drops duplicates of the formatted values."""
         order = self._order()
         df = order.checked(df) if self.strict else df
-        plain = self.format.sequence in ("raw", "exact") and self.format.quality == "raw" and self.format.name in ("raw", "split")
-        if plain:
-            out = ordered_distinct(df, order, self.dedup, pos)
+        if self.format.plain:
+            out = self.format.apply(ordered_distinct(df, order, self.dedup, pos))
         elif self.dedup == IDENTITY:
             out = self.format.apply(numbered(fixed(ranged(df, order)), pos) if pos else ranged(df, order))
         elif self.dedup.predicate is not None:
@@ -175,10 +189,13 @@ class SortSpec:
         else:
             rows = keep_first_of_runs(self.format.apply(fixed(ranged(df, order))), list(self.dedup.columns))
             out = numbered(rows, pos) if pos else rows
+        if self.keyer:
+            out = self.keyer[0].attach(out, self.keyer[1])
         return self.custom(out) if self.custom else out
 
-    def merge(self, runs: Sequence[DataFrame], pos: str | None = "pos") -> DataFrame:
-        return self.run(union_all(runs), pos)
+    def merge(self, runs: Sequence[DataFrame], pos: str | None = "pos", schema: StructType | str | None = None) -> DataFrame:
+        """``schema`` counts where there is no run."""
+        return self.run(union_all(runs), pos) if runs else nothing(schema, pos)
 
     def plan(self) -> str:
         """Which plan duplicates get: none, by key before the sort, or by neighbours after it."""
@@ -192,5 +209,8 @@ class SortSpec:
     def visit(self, df: DataFrame, consume: Callable[[Row], None]) -> int:
         return sinks.visit(self.run(df, pos=None), consume)
 
+    def write_with(self, df: DataFrame, open_sink: Callable[[int], Any]) -> list[Any]:
+        return sinks.write_with(self.run(df, pos=None), open_sink)
+
     def write_to(self, df: DataFrame, path: str, file_format: str = "parquet", **options: str) -> None:
         sinks.write_to(self.run(df, pos=None), path, file_format, **options)
