@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from tidesort.llm import graph, ivfpq, ngram_join, packing
+from tidesort.llm import graph, ivfpq, ngram_join, packing, rtree
 
 
 def shingles(t, width):
@@ -61,9 +61,10 @@ def corpus(seed):
     return [(i, t) for i, t in enumerate(rows)] + [(3, "one more text under an id that is taken twice"), (None, "same"), (None, "nobody else says this at all")]
 
 
-@pytest.mark.parametrize(("width", "least", "page"), [(4, 85, 1024), (5, 80, 8)])
-def test_join_equals_brute_force(spark, monkeypatch, width, least, page):
+@pytest.mark.parametrize(("width", "least", "page", "weight"), [(4, 85, 4096, 10**6), (5, 80, 8, 10**6), (4, 85, 50, 800)])
+def test_join_equals_brute_force(spark, monkeypatch, width, least, page, weight):
     monkeypatch.setattr(ngram_join, "PAGE", page)
+    monkeypatch.setattr(ngram_join, "WEIGHT", weight)
     rule = ngram_join.Rule(width, least)
     rows = corpus(width)
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as node", "2 as n").repartition(4)
@@ -71,6 +72,47 @@ def test_join_equals_brute_force(spark, monkeypatch, width, least, page):
     assert got == groups(rows, rule)
 
 
+@pytest.mark.parametrize(("near", "least"), [(1, 85), (6, 85), (9, 80)])
+def test_tree_gives_the_links_of_a_group_and_no_more_than_it_needs(near, least):
+    rng = np.random.default_rng(near)
+    base = rng.integers(0, 2**63, 120).astype(np.uint64)
+    sets = []
+    for _ in range(300):
+        own = base.copy()
+        own[rng.permutation(120)[: rng.integers(0, 2 * near)]] = rng.integers(0, 2**63, 1).astype(np.uint64)
+        sets.append(np.unique(own))
+    rule, nodes = ngram_join.Rule(4, least), np.arange(300) * 7
+    group = ngram_join._Group(rule, nodes, np.concatenate(sets), np.array([len(x) for x in sets]), nodes.copy())
+    a, b = group.links(7 * 5)
+    parent = list(range(300))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    linked = lambda x, y: 100 * (k := len(np.intersect1d(sets[x], sets[y]))) >= least * (len(sets[x]) + len(sets[y]) - k)
+    for x in range(300):
+        for y in range(x):
+            if linked(x, y):
+                parent[find(x)] = find(y)
+    classes = len({find(x) for x in range(300)})
+    assert 0 < len(a) == 300 - classes and all(linked(x // 7, y // 7) for x, y in zip(a, b, strict=True))
+
+
+def test_tree_bound_loses_no_pair():
+    rng = np.random.default_rng(2)
+    points = rng.poisson(1.5, (700, 40)).astype(np.int32)
+    points[::3] = np.maximum(points[0] + rng.integers(-1, 2, (234, 40)), 0)
+    sizes = points.sum(axis=1)
+    tree = rtree.CountTree(points, sizes, 80, 100)
+    for i in range(0, 700, 9):
+        found = {int(tree.order[j]) for j in tree.near(points[i], int(sizes[i]), -1)}
+        bound = np.minimum(points, points[i]).sum(axis=1)
+        assert found == set(np.flatnonzero((180 * bound >= 80 * (sizes + sizes[i]))).tolist())
+    assert len(tree.levels) == 3
+
+
 def test_join_of_nothing(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_join.join_documents(df).count() == 0
@@ -91,8 +133,9 @@ def test_any_block_damage_within_the_bound_leaves_a_common_cell():
                     assert len(np.intersect1d(s.cells(a), s.cells(b)))
 
 
-def test_components(spark):
-    edges = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (102, 101), (7, 7), (200, 201), (201, 200)]
+def test_components(spark, monkeypatch):
+    monkeypatch.setattr(graph, "LINKS", 5)
+    edges = [(1000, 1000 + i) for i in range(1, 60)] + [(i, i + 1) for i in range(1, 40)] + [(100, 101), (102, 101), (7, 7), (200, 201), (201, 200)]
     got = {r.node: r.comp for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 1 for i in range(1, 41)) and got[102] == 100 and got[201] == got[200] == 200
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
@@ -146,6 +189,33 @@ def test_packing_fills_and_downsizes(seed):
     assert packing.pack([]) == ([], [], [])
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_plans_equal_a_plain_best_fit_and_cost_no_more_than_one_length(seed):
+    rng = random.Random(seed)
+    lengths, most = (60, 100, 250), (30, 60, 250)[seed % 3]
+    sizes = [rng.randrange(1, most + 1) for _ in range(150)]
+
+    def plain(opens):
+        bins, place, rest = [], {}, sum(sizes)
+        for i in sorted(range(len(sizes)), key=lambda j: (-sizes[j], j)):
+            fits = [(c - u, b) for b, (c, u) in enumerate(bins) if c - u >= sizes[i]]
+            if not fits:
+                bins.append([opens(sizes[i], rest), 0])
+                fits = [(0, len(bins) - 1)]
+            b = min(fits)[1] if len({f for f, _ in fits}) == len(fits) else max(b for f, b in fits if f == min(fits)[0])
+            bins[b][1] += sizes[i]
+            place[i] = b
+            rest -= sizes[i]
+        return sum(packing.work(min(c for c in lengths if c >= u)) for _, u in bins)
+
+    cheapest = lambda size, rest: min((c for c in lengths if c >= size), key=lambda c: (packing.work(c) / min(c, rest), c))
+    cost = sum(map(packing.work, packing.pack(sizes, lengths)[2]))
+    assert cost <= plain(cheapest) * 1.02
+    for one in lengths:
+        if one >= most:
+            assert cost <= sum(map(packing.work, packing.pack(sizes, (one,))[2]))
+
+
 def test_best_fit_takes_the_fullest_bin_that_fits():
     bins, _, lengths = packing.pack([400, 300, 200, 110, 90], lengths=(512,), cost=float)
     assert bins[0] == bins[3] and bins[1] == bins[2] and lengths == [512, 512, 512] and bins[4] == 2
@@ -159,3 +229,6 @@ def test_documents_are_packed_whole(spark):
         [("1", 0, 0, 4096), ("1", 1, 4096, 4096), ("1", 2, 8192, 808), ("2", 0, 0, 3), ("2", 0, 0, 3), ("None", 0, 0, 2)]
     )
     assert packing.pack_documents(df.limit(0)).count() == 0
+    big = spark.createDataFrame([(2**53 + 1, "a b", 5000), (None, "c", None), (2**53 + 3, "d", 7)], "doc_id long, text string, n long").coalesce(1)
+    assert {r.doc_id for r in packing.pack_documents(big).collect()} == {2**53 + 1, 2**53 + 3, None}
+    assert sorted((r.doc_id, r.start, r["size"]) for r in packing.pack_documents(big, size="n").collect()) == [(2**53 + 1, 0, 4096), (2**53 + 1, 4096, 904), (2**53 + 3, 0, 7)]
