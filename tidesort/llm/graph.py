@@ -31,6 +31,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Bytes of a batch of rows between the JVM and Python where rows can be long (both sides hold one or two a task).
+BATCH = "16m"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches for this session, unless it has chosen a size itself."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) in ("64MB", "64m", "67108864", "67108864b"):
+        spark.conf.set(name, BATCH)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder, read again: lineage ends there, and any executor can read it.
 

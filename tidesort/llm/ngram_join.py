@@ -9,6 +9,7 @@ below.  That bound is used twice:
    entirely.  A set therefore visits one cell for each of its blocks, keyed by the hash of what the block holds, in the
    size band of the larger partner.  No linked pair misses a common cell.  The cells of one leader (their least member)
    hold much the same members and are searched as one group, so a pair that meets in many cells is looked at once.
+   Groups whose leader follows no other leader are searched first; the others only where their members are still apart then.
 2. *R-trees* (:mod:`tidesort.llm.rtree`) index the count vectors of a group.  Each member is searched in the tree, its
    leader first; a node is left out when its corners rule a link out or when all below it is linked with the member
    already; surviving points are verified on the whole sets.  Only links that join two classes leave the task, so a group
@@ -38,13 +39,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidesort.llm.graph import components, written
+from tidesort.llm.graph import bounded_batches, components, written
 from tidesort.llm.rtree import CountTree
 
 GROUPS = 256
 PAGE = 4096
 WEIGHT = 4_000_000
-CACHE = 500_000
+CACHE = 200_000
 #: Ids up to this many are broadcast (8 to 16 MB); more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 _ODD = np.array([(crc32(f"{i}".encode()) << 32 | crc32(f"odd {i}".encode())) | 1 for i in range(64)], np.uint64)
@@ -355,8 +356,23 @@ def _visited(group: _Group, big: np.ndarray, page: int, part: pa.RecordBatch) ->
     return np.concatenate(a), np.concatenate(b)
 
 
+def _paged(stars: DataFrame, groups: DataFrame) -> DataFrame:
+    """(leader, pages, first, page, node): the members of each group by page, and its leader on every page.
+
+    Groups of several pages have thousands of members each; they are joined to the stars alone, and broadcast up to a checked
+    number.
+    """
+    large = groups.where("pages > 1").select("leader", "pages")
+    few = F.broadcast(large) if large.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else large
+    page = F.pmod(F.xxhash64("node"), F.coalesce("pages", F.lit(1))).cast("int").alias("page")
+    dealt = stars.join(few, "leader", "left").select("leader", page, "node")
+    leaders = groups.select("leader", F.explode(F.sequence(F.lit(0), F.col("pages") - 1)).alias("page"), F.col("leader").alias("node"))
+    return dealt.union(leaders).join(groups, "leader").select("leader", "pages", "first", "page", "node")
+
+
 def join_documents(df: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component): one row for each row of ``df``; component is the least key that links reach."""
+    bounded_batches(df.sparkSession)
     rows = _texts(df, key, text)
     docs = written(_nodes(rows, rule), "nodes")
     least = F.min(F.struct("key", "h"))
@@ -365,32 +381,36 @@ def join_documents(df: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text
 
     groups = stars.groupBy("leader").agg(F.count("*").alias("size")).join(nodes.select(F.col("node").alias("leader"), "n"), "leader")
     pages = F.greatest(F.ceil((F.col("size") + 1) / PAGE), F.ceil((F.col("size") + 1) * F.col("n") / WEIGHT)).cast("int")
-    groups = written(groups.select("leader", pages.alias("pages")), "groups")
-    large = groups.where("pages > 1")
-    paged = not large.isEmpty()
-    page = F.pmod(F.xxhash64("node"), F.coalesce("pages", F.lit(1))).cast("int").alias("page")
-    # Groups of several pages are few: a few thousand links each at the least, and they are broadcast only up to a checked number.
-    few = F.broadcast(large) if paged and large.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else large
-    members = stars.join(few, "leader", "left").select("leader", page, "node") if paged else stars.select("leader", F.lit(0).alias("page"), "node")
-    leaders = groups.select("leader", F.explode(F.sequence(F.lit(0), F.col("pages") - 1)).alias("page"), F.col("leader").alias("node"))
-
-    wanted = stars.select("node").union(stars.select("leader")).distinct().join(nodes, "node").select("node", F.col("rep").alias("key"), "h")
-    own = written(_sets(rows, wanted, rule), "sets")
+    first = stars.select("leader").join(stars.select(F.col("node").alias("leader")).distinct(), "leader", "left_anti").distinct().withColumn("first", F.lit(True))
+    groups = written(groups.select("leader", pages.alias("pages")).join(first, "leader", "left"), "groups")
+    members = written(_paged(stars, groups), "members")
     plain = [F.lit(0).alias("visit"), F.lit(0).alias("home"), F.lit(False).alias("big")]
-    links = written(_tree_links(members.union(leaders).join(own, "node").select("leader", "page", *plain, "node", F.col("node").alias("comp"), "own"), rule), "links")
-    comps = components(links)
+    columns = ["leader", "page", "visit", "home", "big", "node", "comp"]
+
+    def search(chosen: DataFrame, across: bool = False) -> DataFrame:
+        wanted = chosen.select("node").distinct().join(nodes, "node").select("node", F.col("rep").alias("key"), "h")
+        return written(_tree_links(chosen.join(_sets(rows, wanted, rule), "node").select(*columns, "own"), rule, across), "links")
 
-    if paged:
-        found = members.join(large.select("leader", "pages"), "leader").join(comps, "node", "left").select("leader", "page", "pages", "node", F.coalesce("comp", "node").alias("comp"))
-        found = written(found, "members")
+    # First the groups whose leader follows no other; after them nearly all other groups hold a single class.
+    links = search(members.where("first").select("leader", "page", *plain, "node", F.col("node").alias("comp")))
+    comps = components(links)
+    later = members.where("first is null").join(comps, "node", "left").select("leader", "page", "node", F.coalesce("comp", "node").alias("comp"))
+    apart = later.groupBy("leader").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("leader")
+    later = written(later.join(apart, "leader").select("leader", "page", *plain, "node", "comp"), "later")
+    if not later.isEmpty():
+        links = links.union(search(later))
+        comps = components(links)
+
+    if not groups.where("pages > 1").isEmpty():
+        found = members.where("pages > 1 and node <> leader").join(comps, "node", "left").select("leader", "page", "pages", "node", F.coalesce("comp", "node").alias("comp"))
+        found = written(found, "classes")
         sizes = found.groupBy("leader", "comp").agg(F.count("*").alias("size"))
         apart = sizes.groupBy("leader").agg(F.max_by("comp", F.struct("size", "comp")).alias("largest"), F.count("*").alias("classes")).where("classes > 1")
         found = found.join(apart, "leader").withColumn("big", F.col("comp") == F.col("largest"))
         stay = found.select("leader", "page", F.lit(0).alias("visit"), F.col("page").alias("home"), "big", "node", "comp")
         travel = found.where("not big").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pages") - 1))).where("other <> page")
         travel = travel.select("leader", F.col("other").alias("page"), F.lit(1).alias("visit"), F.col("page").alias("home"), "big", "node", "comp")
-        across = _tree_links(stay.union(travel).join(own, "node").select("leader", "page", "visit", "home", "big", "node", "comp", "own"), rule, across=True)
-        comps = components(links.union(across))
+        comps = components(links.union(search(stay.union(travel), across=True)))
 
     own_comp = nodes.select("node", "key").join(comps, "node", "left").select("node", "key", F.coalesce("comp", "node").alias("comp"))
     least_key = own_comp.groupBy("comp").agg(F.min("key").alias("component"))
