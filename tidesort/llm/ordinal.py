@@ -14,11 +14,12 @@ Rows are selected by ``Model.cut``, a bound for the probability of the top grade
 rows, with a model of the others, to keep the share ``keep`` of the top grade and as few of the lower grades as that allows.
 
 The model is fitted on the driver on at most ``max_rows`` rated rows (those whose hashed id is least, so the sample is
-the same on every run), whose features are made on the executors.  Every row of the table is scored.
+the same on every run).  The executors count features by grade, the driver chooses the used ones and gets those alone for
+each row.  Every row of the table is scored.
 
 Defined results: a null or empty text has the length bucket as its only feature; rows without a rating, with a null id
 or with a null rating are not learned from, several ratings of one id count as their least; without any rating all
-rows get the top grade; repeated rows are scored alike; an empty table gives an empty table.
+rows get the top grade; repeated rows are scored alike; a very long text is read whole, by blocks; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidesort.llm.graph import written
+
 BITS = 20
 PREFIXES = (4, 5, 6, 7)
 #: Words of a text that are held at once; features of longer texts are added up over blocks.
@@ -144,12 +147,19 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def associated(row: np.ndarray, feature: np.ndarray, grade: np.ndarray, grades: int, bits: int, min_rows: int, least_g: float, most: int) -> np.ndarray:
-    """Feature -> whether it is used: the ``most`` with the largest G of (has the feature, grade)."""
-    has = np.stack([np.bincount(feature[(grade == j)[row]], minlength=1 << bits) for j in range(grades)], axis=1)
-    used = np.flatnonzero(has.sum(axis=1) >= min_rows)
-    has, rows = has[used].astype(float), np.bincount(grade, minlength=grades).astype(float)
-    share = has.sum(axis=1, keepdims=True) / len(grade)
+def seen_by_grade(row: np.ndarray, feature: np.ndarray, grade: np.ndarray, grades: int, bits: int) -> np.ndarray:
+    """(feature, grade): how many rows of the grade have the feature."""
+    return np.stack([np.bincount(feature[(grade == j)[row]], minlength=1 << bits) for j in range(grades)], axis=1)
+
+
+def associated(feature: np.ndarray, has: np.ndarray, rows: np.ndarray, bits: int, min_rows: int = 5, least_g: float = 20.0, most: int = 2000) -> np.ndarray:
+    """Feature -> whether it is used: the ``most`` with the largest G of (has the feature, grade).
+
+    ``has``: rows of each grade that have ``feature``; ``rows``: rows of each grade.
+    """
+    on = has.sum(axis=1) >= min_rows
+    used, has, rows = feature[on], has[on].astype(float), rows.astype(float)
+    share = has.sum(axis=1, keepdims=True) / max(1.0, rows.sum())
     g = np.zeros(len(used))
     for seen, expected in ((has, share * rows), (rows - has, (1 - share) * rows)):
         g += 2 * (seen * np.log(np.where(seen > 0, seen, 1) / np.where(seen > 0, expected, 1))).sum(axis=1)
@@ -159,13 +169,15 @@ def associated(row: np.ndarray, feature: np.ndarray, grade: np.ndarray, grades:
     return known
 
 
-def fit(row: np.ndarray, feature: np.ndarray, value: np.ndarray, grade: np.ndarray, grades: int, bits: int = BITS, min_rows: int = 5, l2: float = 1e-4, steps: int = 300, rate: float = 0.1, least_g: float = 20.0, most: int = 2000) -> Model:
+def fit(row: np.ndarray, feature: np.ndarray, value: np.ndarray, grade: np.ndarray, grades: int, bits: int = BITS, min_rows: int = 5, l2: float = 1e-4, steps: int = 300, rate: float = 0.1, least_g: float = 20.0, most: int = 2000, known: np.ndarray | None = None) -> Model:
     """Full-batch Adam on the mean negative log-likelihood; thresholds stay ordered as a first one plus positive gaps.
 
     Features are centred (their means go into the thresholds), and the step falls to zero, so the fit settles.
     """
     n, k = len(grade), grades - 1
-    known = associated(row, feature, grade, grades, bits, min_rows, least_g, most)
+    if known is None:
+        has = seen_by_grade(row, feature, grade, grades, bits)
+        known = associated(np.arange(1 << bits), has, np.bincount(grade, minlength=grades), bits, min_rows, least_g, most)
     on = known[feature]
     row, feature, value = row[on], feature[on], value[on].astype(np.float64)
     used, at = np.unique(feature, return_inverse=True)
@@ -203,16 +215,20 @@ def choose_cut(score: np.ndarray, top: np.ndarray, keep: float) -> float:
     return float((least + below.max()) / 2) if len(below) else float(min(0.0, least))
 
 
-def fit_with_cut(row: np.ndarray, feature: np.ndarray, value: np.ndarray, grade: np.ndarray, grades: int, bits: int = BITS, keep: float = 0.99) -> Model:
-    """The model of all rows; its cut comes from every fifth row and a model of the other rows."""
-    held = np.arange(len(grade)) % 5 == 4
+def fit_with_cut(row: np.ndarray, feature: np.ndarray, value: np.ndarray, grade: np.ndarray, held: np.ndarray, known: tuple[np.ndarray, np.ndarray], grades: int, bits: int = BITS, keep: float = 0.99) -> Model:
+    """The model of all rows; its cut comes from the rows ``held`` and a model of the others.
+
+    ``known``: the features of the model of the others, and of the model of all.
+    """
     place = np.where(held, np.cumsum(held), np.cumsum(~held)) - 1
-    on = ~held[row]
-    part = fit(place[row[on]], feature[on], value[on], grade[~held], grades, bits)
-    on = ~on
-    seen = part.score(place[row[on]], feature[on], value[on], int(held.sum())) - part.thresholds[-1]
-    cut = float(_sigmoid(np.array(choose_cut(seen, grade[held] == grades - 1, keep))))
-    return replace(fit(row, feature, value, grade, grades, bits), cut=cut)
+    cut = 0.5
+    if held.any() and not held.all():
+        on = ~held[row]
+        part = fit(place[row[on]], feature[on], value[on], grade[~held], grades, bits, known=known[0])
+        on = ~on
+        seen = part.score(place[row[on]], feature[on], value[on], int(held.sum())) - part.thresholds[-1]
+        cut = float(_sigmoid(np.array(choose_cut(seen, grade[held] == grades - 1, keep))))
+    return replace(fit(row, feature, value, grade, grades, bits, known=known[1]), cut=cut)
 
 
 def _cdf(x: np.ndarray) -> np.ndarray:
@@ -229,28 +245,50 @@ def train(docs: DataFrame, ratings: DataFrame, grade: str = "grade", grades: int
     sample = rated.orderBy(F.xxhash64("k"), "k").limit(max_rows)
     rows = docs.select(F.col(f"`{key}`").alias("k"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).join(F.broadcast(sample), "k")
     rows = rows.groupBy("k", "g").agg(F.min("text").alias("text"))
+    key_text = F.col("k").cast("string")
+    rows = written(rows.select(key_text.alias("k"), "g", (F.crc32(key_text) % 5 == 4).alias("held"), "text"), "rated")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features, total = Features(bits), np.zeros((2 * grades, (1 << bits) + 1), np.int32)
+        for batch in batches:
+            cell = batch.column("g").to_numpy() + grades * batch.column("held").to_numpy(zero_copy_only=False)
+            for k in range(0, batch.num_rows, 256):
+                row, feature, _ = features.rows(batch.column("text").slice(k, 256).to_pylist())
+                np.add.at(total, (cell[k : k + 256][row], feature), 1)
+            np.add.at(total, (cell, 1 << bits), 1)  # the rows themselves
+        cell, feature = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(feature.astype(np.int32)), pa.array(cell.astype(np.int32)), pa.array(total[cell, feature].astype(np.int64))], ["f", "cell", "n"])
+
+    # What comes to the driver: counts of features that enough rows have, then the used features of each row.
+    cells = [F.coalesce(F.sum(F.when(F.col("cell") == c, F.col("n"))), F.lit(0)).cast("int").alias(f"n{c}") for c in range(2 * grades)]
+    counted = rows.mapInArrow(count, "f int, cell int, n long").groupBy("f").agg(*cells, F.sum("n").alias("n"))
+    got = counted.where((F.col("n") >= 5) | (F.col("f") == 1 << bits)).drop("n").toArrow()
+    if not got.num_rows:
+        return Model(np.zeros(1 << bits, np.float32), np.zeros(1 << bits, bool), np.full(grades - 1, -40.0), bits)
+    feature, has = got.column("f").to_numpy(), np.stack([got.column(f"n{c}").to_numpy() for c in range(2 * grades)], axis=1)
+    total, feature, has = has[feature == 1 << bits][0], feature[feature < 1 << bits], has[feature < 1 << bits]
+    both = [associated(feature, h, n, bits) for h, n in ((has[:, :grades], total[:grades]), (has[:, :grades] + has[:, grades:], total[:grades] + total[grades:]))]
+    known = both[0] | both[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = Features(bits)
+        features = Features(bits, known)
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
                 row, feature, value = features.rows(part.column("text").to_pylist())
+                on = known[feature]
+                row, feature, value = row[on], feature[on], value[on]
                 edge = np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("k").cast(pa.string()), part.column("g"), pa.ListArray.from_arrays(edge, pa.array(feature.astype(np.int32))), pa.ListArray.from_arrays(edge, pa.array(value.astype(np.float32)))],
-                    ["k", "g", "f", "v"],
+                    [part.column("k"), part.column("g"), part.column("held"), pa.ListArray.from_arrays(edge, pa.array(feature.astype(np.int32))), pa.ListArray.from_arrays(edge, pa.array(value.astype(np.float32)))],
+                    ["k", "g", "held", "f", "v"],
                 )
 
-    # Flat arrays of 4-byte numbers; in hashed order, so that every fifth row is a fair sample.
-    got = rows.mapInArrow(run, "k string, g int, f array<int>, v array<float>").toArrow()
-    if not got.num_rows:
-        return Model(np.zeros(1 << bits, np.float32), np.zeros(1 << bits, bool), np.full(grades - 1, -40.0), bits)
-    got = got.take(np.lexsort((got.column("k").to_pylist(), [crc32(k.encode()) for k in got.column("k").to_pylist()])))
+    got = rows.mapInArrow(run, "k string, g int, held boolean, f array<int>, v array<float>").toArrow().sort_by("k")
     feature, value = got.column("f").combine_chunks(), got.column("v").combine_chunks().flatten().to_numpy()
     sizes, feature, grade_of = feature.value_lengths().to_numpy(), feature.flatten().to_numpy(), got.column("g").to_numpy()
     row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-    return fit_with_cut(row, feature, value, grade_of, grades, bits)
+    return fit_with_cut(row, feature, value, grade_of, got.column("held").to_numpy(), (both[0], both[1]), grades, bits)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "rating") -> DataFrame:
