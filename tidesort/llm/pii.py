@@ -5,15 +5,19 @@ spelled-out addresses, loose numbers, colon-separated addresses.  Boosted trees
 (digits, separators, letters, checks) and context (neighbours, cue words).  Calibrated margins select what is redacted.
 Candidates that pass the fixed rules of their kind are always selected; the trees add others that look like them.
 
-The trees are fitted on candidates of at most ``max_rows`` rows (least hashed key).  Labels are the fixed rules' verdicts on
-their own generators.  The executors count candidates by feature cell, and the driver boosts over the
-``max_cells`` most frequent cells, which is the same as boosting over their candidates.  A quarter of the rows is held
-back for calibration: pooled precision by margin, made monotone; the threshold is the least margin of precision
-``precision``.  The trees are then compiled to one column expression.
+The trees are fitted on candidates of at most ``max_rows`` rows (least hashed key).  A fixed rule labels its own generator.
+The loose generators have no rule: what they propose outside the spans of the rules counts as negative, and their positives
+are planted: the sampled texts a second time, each international number without its prefix, each address spelled out, each
+dotted quad with colons, in the contexts in which they stand.  The features hold no verdict of a rule.  The executors count
+candidates by feature cell; the driver boosts over all cells, or the ``max_cells`` most frequent if there are more.  A
+quarter of the rows is held back for calibration, one generator at a time: pooled precision by margin, made monotone; a
+generator's threshold is the least margin of precision ``precision``, and it adds nothing where no margin has that.  The trees
+then stand as one array in a column expression.
 
 Defined results: a null or empty text has no spans; other columns are carried through, except one named as ``out``;
-repeated rows give repeated results; without any candidate to learn from nothing is added; an empty table gives an
-empty table.
+repeated rows give repeated results; a very long text is searched whole, at a cost in proportion to its length; of chosen
+candidates that overlap the one that starts first stays (ties: the one that ends first, then by name), and none that overlaps
+a span of a rule; without any candidate to learn from nothing is added; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidesort.llm.spans import empty_spans, joined, with_spans
+from tidesort.llm.spans import BLOCK, empty_spans, joined, with_spans
 
 #: Runs are taken whole (possessive), from their beginning or from the end of the last match: one pass over any text.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -41,7 +45,9 @@ GENERATORS = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE, "spelled":
 KINDS = tuple(GENERATORS)
 CUES = r"(?i)(mail|phone|\btel|call|fax|mobile|card|visa|credit|account|iban|\bip\b|host|contact)[^\n]{0,20}$"
 AROUND = 32
-FEATURES = ("digits", "seps", "dots", "letters", "size", "at", "plus", "paren", "luhn", "octets", "prev", "next", "cue")
+#: Stands before what is planted in training texts (word joiner, which no pattern takes).
+PLANTED = "\u2060"
+FEATURES = ("generator", "digits", "seps", "dots", "letters", "size", "at", "plus", "paren", "prev", "next", "cue")
 
 
 def _digits(text: Column) -> Column:
@@ -86,8 +92,9 @@ def _features(s: Column) -> list[Column]:
     text, n = s["text"], F.length(s["text"])
     count = lambda cls: F.least(n - F.length(F.regexp_replace(text, cls, "")), F.lit(24))
     one = lambda c: c.cast("int")
-    digits = _digits(text)
+    before = F.regexp_replace(s["before"], PLANTED + "$", "")
     values = {
+        "generator": F.array_position(F.array(*map(F.lit, KINDS)), s["kind"]),
         "digits": count("[0-9]+"),
         "seps": count(r"[\x20()./:-]+"),
         "dots": count(r"\.+"),
@@ -96,15 +103,17 @@ def _features(s: Column) -> list[Column]:
         "at": one(text.rlike(r"@|at[)\]}]")),
         "plus": one(text.startswith("+")),
         "paren": one(text.contains("(")),
-        "luhn": one(luhn(digits)),
-        "octets": F.when(text.rlike(r"^[0-9]+(\.[0-9]+){3}$"), F.when(octets(text), 2).otherwise(1)).otherwise(0),
-        "prev": _side(F.substring(s["before"], -1, 1)),
+        "prev": _side(F.substring(before, -1, 1)),
         "next": _side(F.substring(s["after"], 1, 1)),
-        "cue": one(s["before"].rlike(CUES)),
+        "cue": one(before.rlike(CUES)),
     }
     return [values[f].cast("int").alias(f) for f in FEATURES]
 
 
+#: Columns of a tree as data: its split, then split and leaves of either side.
+TREE = ("f", "at", "lf", "lat", "l0", "l1", "rf", "rat", "r0", "r1")
+
+
 @dataclass(frozen=True)
 class Tree:
     """A split, a split on either side, four leaves."""
@@ -114,10 +123,6 @@ class Tree:
     left: tuple[str, int, float, float]
     right: tuple[str, int, float, float]
 
-    def column(self, x: Column) -> Column:
-        half = lambda part: F.when(x[part[0]] <= part[1], F.lit(part[2])).otherwise(F.lit(part[3]))
-        return F.when(x[self.feature] <= self.at, half(self.left)).otherwise(half(self.right))
-
     def values(self, x: dict[str, np.ndarray]) -> np.ndarray:
         half = lambda part: np.where(x[part[0]] <= part[1], part[2], part[3])
         return np.where(x[self.feature] <= self.at, half(self.left), half(self.right))
@@ -127,13 +132,21 @@ class Tree:
 class Model:
     start: float
     trees: tuple[Tree, ...]
-    threshold: float | None
+    thresholds: dict[str, float]  # of the generators that may add spans
 
     def margin(self, x: Column) -> Column:
-        total = F.lit(self.start)
-        for tree in self.trees:
-            total = total + tree.column(x)
-        return total
+        """Margin of a candidate; ``x`` is the array of its features.  The trees are data, so the expression stays small."""
+        place = lambda part: (FEATURES.index(part[0]) + 1, *part[1:])
+        rows = [F.struct(*(F.lit(v).alias(n) for n, v in zip(TREE, (FEATURES.index(t.feature) + 1, t.at, *place(t.left), *place(t.right)), strict=True))) for t in self.trees]
+        half = lambda t, side: F.when(F.element_at(x, t[f"{side}f"]) <= t[f"{side}at"], t[f"{side}0"]).otherwise(t[f"{side}1"])
+        return F.aggregate(F.array(*rows), F.lit(self.start), lambda m, t: m + F.when(F.element_at(x, t["f"]) <= t["at"], half(t, "l")).otherwise(half(t, "r")))
+
+    def chooses(self, s: Column) -> Column:
+        """Whether the candidate ``s`` (with features ``x``) reaches its generator's threshold."""
+        least = F.lit(None).cast("double")
+        for kind, threshold in self.thresholds.items():
+            least = F.when(s["kind"] == kind, F.lit(threshold)).otherwise(least)
+        return F.coalesce(self.margin(s["x"]) >= least, F.lit(False))
 
 
 def _split(x: dict[str, np.ndarray], g: np.ndarray, h: np.ndarray, on: np.ndarray, l2: float) -> tuple[float, str, int, float, float]:
@@ -200,25 +213,49 @@ def _candidates(df: DataFrame, text: str, carried: list[Column]) -> DataFrame:
     return df.drop("__p_text", *(f"__p_{k}" for k in KINDS))
 
 
+def planted(text: Column) -> Column:
+    """Base spans in a form that only the loose generators know, each behind a mark."""
+    text = F.regexp_replace(text, r"\+[0-9]{1,3}[\x20-]?(?=\(?[0-9]{2})", PLANTED)
+    text = F.regexp_replace(text, r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]+)@(?=[A-Za-z0-9-]+\.)", PLANTED + "$1 (at) ")
+    return F.regexp_replace(text, r"(?<![0-9.])([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})(?![0-9.])", PLANTED + "$1:$2:$3:$4")
+
+
 def train(df: DataFrame, key: str = "doc_id", text: str = "text", max_rows: int = 20_000, max_cells: int = 20_000, precision: float = 0.95) -> Model:
     rows = df.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).where("k is not null and t is not null")
     sample = rows.select("k").distinct().orderBy(F.xxhash64("k"), "k").limit(max_rows)
-    found = _candidates(rows.join(F.broadcast(sample), "k"), "t", [F.pmod(F.xxhash64("k"), F.lit(4)).alias("fold")])
+    # Two forms of each text: as it is, and with its base spans rewritten.
+    forms = F.array(F.struct(F.lit(False).alias("twin"), F.col("t").alias("t")), F.struct(F.lit(True).alias("twin"), planted(F.col("t")).alias("t")))
+    rows = rows.join(F.broadcast(sample), "k").where(F.col("t").rlike(ANY)).select("k", F.explode_outer(forms).alias("f"))
+    found = _candidates(rows.select("k", "f.twin", F.col("f.t").alias("t")), "t", [F.pmod(F.xxhash64("k"), F.lit(4)).alias("fold"), F.col("twin")])
+    good = F.filter("__p_all", passes)
+    fair = F.filter(
+        "__p_all",
+        lambda s: F.when(F.col("twin"), ~s["kind"].isin(*BASE) & s["before"].endswith(PLANTED)).otherwise(
+            s["kind"].isin(*BASE) | ~F.exists(F.col("__p_good"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+        ),
+    )
+    found = found.withColumn("__p_good", good).withColumn("__p_fair", F.when(F.size("__p_all") > 0, fair).otherwise(empty_spans(AROUND)))
     # The outer form: from a plain explode the optimizer infers filters and pushes them down through all of the steps above,
     # which writes their expressions out again and again.
-    each = found.select("fold", F.explode_outer("__p_all").alias("s")).where(F.col("s.kind").isin(*BASE))
-    cells = each.select((F.col("fold") == 0).alias("held"), passes(F.col("s")).cast("int").alias("y"), *_features(F.col("s")))
+    each = found.select("fold", "twin", F.explode_outer("__p_fair").alias("s")).where("s is not null")
+    cells = each.select((F.col("fold") == 0).alias("held"), (F.col("twin") | passes(F.col("s"))).cast("int").alias("y"), *_features(F.col("s")))
     cells = cells.groupBy("held", "y", *FEATURES).agg(F.count("*").alias("w")).orderBy(F.desc("w"), "held", "y", *FEATURES).limit(max_cells)
     got = cells.collect()
     held = np.array([r["held"] for r in got], bool)
     y, w = np.array([r["y"] for r in got], float), np.array([r["w"] for r in got], float)
     x = {f: np.array([r[f] for r in got], np.int64) for f in FEATURES}
     if not (~held).any() or not held.any():
-        return Model(0.0, (), None)
+        return Model(0.0, (), {})
     fit = {f: v[~held] for f, v in x.items()}
     start, trees = boost(fit, y[~held], w[~held])
-    margin = start + sum((t.values({f: v[held] for f, v in x.items()}) for t in trees), np.zeros(int(held.sum())))
-    return Model(start, trees, calibrate(np.round(margin, 9), y[held], w[held], precision))
+    seen = {f: v[held] for f, v in x.items()}
+    margin = start + sum((t.values(seen) for t in trees), np.zeros(int(held.sum())))
+    thresholds = {}
+    for number, kind in enumerate(KINDS, 1):
+        own = seen["generator"] == number
+        if own.any() and (least := calibrate(np.round(margin[own], 9), y[held][own], w[held][own], precision)) is not None:
+            thresholds[kind] = float(least) - 1e-9
+    return Model(start, trees, thresholds)
 
 
 def find_pii(df: DataFrame, model: Model, text: str = "text", out: str = "pii") -> DataFrame:
@@ -227,12 +264,12 @@ def find_pii(df: DataFrame, model: Model, text: str = "text", out: str = "pii")
     df = _candidates(df.withColumn("__p_body", F.col(f"`{text}`")), "__p_body", kept)
     plain = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["text"].alias("text"))
     df = df.withColumn("__p_good", F.when(F.size("__p_all") > 0, F.filter(F.col("__p_all"), passes)).otherwise(empty_spans(AROUND)))
-    if model.threshold is None:
+    if not model.thresholds or not model.trees:
         return df.select(*kept, F.transform("__p_good", plain).alias(out))
     # The others, in order of start, with their margins.
     rest = F.filter(F.col("__p_all"), lambda s: ~passes(s))
-    df = df.withColumn("__p_rest", F.when(F.size("__p_all") > F.size("__p_good"), F.array_sort(F.transform(rest, lambda s: F.struct(*(s[c].alias(c) for c in ("start", "end", "kind", "text", "before", "after")), F.struct(*_features(s)).alias("x"))))))
-    chosen = F.filter(F.col("__p_rest"), lambda s: model.margin(s["x"]) >= F.lit(model.threshold))
+    df = df.withColumn("__p_rest", F.when(F.size("__p_all") > F.size("__p_good"), F.array_sort(F.transform(rest, lambda s: F.struct(*(s[c].alias(c) for c in ("start", "end", "kind", "text", "before", "after")), F.array(*_features(s)).alias("x"))))))
+    chosen = F.filter(F.col("__p_rest"), model.chooses)
     chosen = F.filter(chosen, lambda s: ~F.exists(F.col("__p_good"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     df = df.withColumn("__p_more", F.when(F.col("__p_rest").isNotNull(), F.transform(chosen, plain)))
     apart = F.aggregate(
@@ -244,29 +281,51 @@ def find_pii(df: DataFrame, model: Model, text: str = "text", out: str = "pii")
     return df.select(*kept, F.concat(F.transform("__p_good", plain), F.when(F.size("__p_more") > 0, apart).otherwise(empty_spans())).alias(out))
 
 
+#: Texts are cut in blocks of so many code points, so that a piece is taken from the blocks it lies in and not from the whole text.
+CUT = 2048
+
+
+def _merged(spans: Column) -> Column:
+    """(start, end, kind): overlapping spans as one, named after the first; by blocks, so results are not copied span by span."""
+    kind = "array<struct<start:int,end:int,kind:string>>"
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
+    plain = F.transform(ordered, lambda s: F.struct(s["start"].alias("start"), (-s["back"]).alias("end"), s["kind"].alias("kind")))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / BLOCK).cast("int")), lambda k: F.slice(plain, k * BLOCK + 1, F.lit(BLOCK)))
+    none = F.expr("cast(null as struct<start:int,end:int,kind:string>)")
+
+    def step(acc: Column, s: Column) -> Column:
+        inside = F.coalesce(s["start"] < acc["open"]["end"], F.lit(False))
+        wider = F.struct(acc["open"]["start"].alias("start"), F.greatest(acc["open"]["end"], s["end"]).alias("end"), acc["open"]["kind"].alias("kind"))
+        done = F.when(inside | acc["open"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["open"])))
+        return F.struct(F.when(inside, wider).otherwise(s).alias("open"), done.alias("out"))
+
+    def block(acc: Column, part: Column) -> Column:
+        own = F.aggregate(part, F.struct(acc["open"].alias("open"), F.expr(f"cast(array() as {kind})").alias("out")), step)
+        return F.struct(own["open"].alias("open"), F.concat(acc["outs"], F.array(own["out"])).alias("outs"))
+
+    start = F.struct(none.alias("open"), F.expr(f"cast(array() as array<{kind}>)").alias("outs"))
+    return F.aggregate(blocks, start, block, lambda acc: F.concat(F.flatten(acc["outs"]), F.array(acc["open"])))
+
+
 def redact(df: DataFrame, spans: str = "pii", text: str = "text") -> DataFrame:
-    """``text`` with every span replaced by ``[kind]``; overlapping spans become one, named after the first."""
-    ordered = F.array_sort(F.transform(F.col(spans), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
-    merged = F.aggregate(
-        ordered,
-        F.expr("cast(array() as array<struct<start:int,end:int,kind:string>>)"),
-        lambda acc, s: F.when(
-            (F.size(acc) > 0) & (s["start"] < F.try_element_at(acc, F.lit(-1))["end"]),
-            F.concat(
-                F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))),
-                F.array(F.struct(F.try_element_at(acc, F.lit(-1))["start"].alias("start"), F.greatest(F.try_element_at(acc, F.lit(-1))["end"], -s["back"]).alias("end"), F.try_element_at(acc, F.lit(-1))["kind"].alias("kind"))),
-            ),
-        ).otherwise(F.concat(acc, F.array(F.struct(s["start"].alias("start"), (-s["back"]).alias("end"), s["kind"].alias("kind"))))),
-    )
-    body = F.col(f"`{text}`")
-    df = df.withColumn("__r_spans", F.when(F.size(spans) > 0, merged))
-    cut = F.aggregate(
-        F.col("__r_spans"),
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(body, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), s["kind"], F.lit("]")).alias("out")),
-        lambda acc: F.concat(acc["out"], F.substring(body, acc["at"] + 1, F.length(body))),
-    )
-    return df.withColumn(text, F.when(F.size("__r_spans") > 0, cut).otherwise(body)).drop("__r_spans")
+    """``text`` with every span replaced by ``[kind]``; overlapping spans become one, named after the first.
+
+    The cost follows the length of the text and the number of its spans.
+    """
+    df = df.withColumn("__r_spans", F.when(F.size(spans) > 0, _merged(F.col(spans))))
+    df = df.withColumn("__r_blocks", F.when(F.size(spans) > 0, F.regexp_extract_all(F.col(f"`{text}`"), F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0))))
+    blocks, cut, n = F.col("__r_blocks"), F.col("__r_spans"), F.size("__r_spans")
+
+    def piece(a: Column, b: Column) -> Column:
+        first = F.floor(a / CUT).cast("int")
+        return F.substring(F.array_join(F.slice(blocks, first + 1, F.floor(b / CUT).cast("int") - first + 1), ""), a - first * CUT + 1, b - a)
+
+    def replaced(i: Column) -> Column:
+        before = F.when(i > 1, F.element_at(cut, F.greatest(i - 1, F.lit(1)))["end"]).otherwise(F.lit(0))
+        return F.concat(piece(before, F.element_at(cut, i)["start"]), F.lit("["), F.element_at(cut, i)["kind"], F.lit("]"))
+
+    whole = F.concat(F.array_join(F.transform(F.sequence(F.lit(1), n), replaced), ""), piece(F.element_at(cut, -1)["end"], (F.size(blocks) * CUT).cast("int")))
+    return df.withColumn(text, F.when(n > 0, whole).otherwise(F.col(f"`{text}`"))).drop("__r_spans", "__r_blocks")
 
 
 def base_of(spans: Column) -> Column:
