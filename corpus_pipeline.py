@@ -26,7 +26,11 @@ def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose probability of the top grade reaches the cut of the model; the model learns from the rated raw documents."""
+    """Documents whose probability of the top grade reaches the cut of the model; the model learns from the rated raw documents.
+
+    A null text is scored like an empty one; a null id or a tie changes nothing, as every row is judged by its text; repeated rows are
+    judged alike; without ratings all stay; an empty table stays empty; columns of any names are carried through.
+    """
     raw = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = ordinal.train(raw, ordinal.graded(spark.read.parquet(f"{sf_dir}/labels.parquet")))
     rated = ordinal.score(docs, model, out="__rating").withColumn("__kept", F.col("__rating.tails")[1] >= model.cut)
@@ -51,7 +55,11 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, its personal data replaced by ``[kind]`` and ``n_chars`` counted anew."""
+    """Every document, its personal data replaced by ``[kind]`` and ``n_chars`` counted anew.
+
+    A null text stays null, an empty one empty; very long texts are redacted whole; of overlapping spans the first names the
+    replacement; repeated rows are redacted alike, also those without an id; an empty table stays empty.
+    """
     marked = pii.find_pii(docs, pii.train(docs), out="__pii")
     clean = pii.redact(marked, spans="__pii")
     if "n_chars" in docs.columns:
@@ -60,7 +68,11 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each text lies: doc_id, piece, start, size, bin_id, bin_length, offset (in words)."""
+    """Where each piece of each text lies: doc_id, piece, start, size, bin_id, bin_length, offset (in words).
+
+    Null and blank texts have no piece; null ids and repeated rows are packed like others; longer texts are cut, none is shortened;
+    an empty table gives no row.
+    """
     return packing.pack_documents(docs)
 
 
