@@ -150,7 +150,7 @@ def test_neighbours(spark):
     rows += [(5000 + 50 * i, v, None) for i, v in enumerate(bad)] + [(None, [1.0] * 20, None)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, id string").repartition(4)
     got = {}
-    for r in ivfpq.self_search(df, every=50, part_rows=64).collect():
+    for r in ivfpq.self_search(df, every=50, part_values=64 * 20).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
     d = x.astype(float)
     norm = np.sqrt((d * d).sum(axis=1))
@@ -172,6 +172,32 @@ def test_neighbours(spark):
     assert ivfpq.self_search(df.where("vec_id >= 5000"), every=50).count() == 0
 
 
+def test_neighbours_of_huge_components_and_repeated_ids(spark):
+    big, small = 1e308, 1e-300
+    rows = [(0, [big, big]), (1, [big, 0.0]), (2, [small, small]), (3, [0.0, small])] + [(7, [1.0, 1.0])] * 40 + [(50, [1.0, 0.5])] * 40
+    got = ivfpq.self_search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=50, k=3).collect()
+    found = {q: sorted((r["rank"], r.vec_id, round(r.score, 9)) for r in got if r.query_id == q) for q in (0, 50)}
+    assert found[0] == [(1, 2, 1.0), (2, 7, 1.0), (3, 7, 1.0)]
+    assert {v for _, v, _ in found[50]} <= {0, 2, 7}
+
+
+def test_index_prunes_where_vectors_gather(spark):
+    """Lists and codes that are scored are few, as measured, and the true neighbours are found."""
+    rng = np.random.default_rng(5)
+    x = (rng.normal(size=(60, 32)) * 2).repeat(100, axis=0) + rng.normal(size=(6000, 32))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    index = ivfpq.train(ivfpq.rows_of(df, "vec_id", "embedding"))
+    assert len(index.coarse) == 77 and index.probes < 39 and index.near < 60
+    norm = np.sqrt((x * x).sum(axis=1))
+    hit = 0
+    got = ivfpq.self_search(df, every=50).collect()
+    for q in range(0, 6000, 50):
+        score = x @ x[q] / (norm * norm[q])
+        score[q] = -9
+        hit += len(set(np.argsort(-score)[:5].tolist()) & {r.vec_id for r in got if r.query_id == q})
+    assert len(got) == 600 and hit >= 0.9 * 600
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_packing_fills_and_downsizes(seed):
     rng = random.Random(seed)
