@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidesort.functions import predicates, transforms
-from tidesort.operators import keys, orders
+from tidesort.operators import keys, orders, position
 from tidesort.operators.dedup import BY_NAME, BY_SEQUENCE, BY_SEQUENCE_AND_QUALITY, Dedup, is_global, ordered_distinct
 from tidesort.operators.merge import merge_keyed, merge_sorted, union_all
 from tidesort.operators.orders import Order
@@ -307,3 +307,13 @@ def test_formats_keep_bytes(spark):
     out = SortSpec().sort_by_illumina().lossy_n().binned_quality().run(from_rows(spark, rows)).first()
     assert bytes(out.sequence) == bytes(b if chr(b) in "ACGTacgt" else 78 for b in range(256)) and len(out.quality) == 256 and bytes(out.quality)[:128] == bytes(range(255, 127, -1))
     assert SortSpec().key("v").merge([], schema="v long").columns == ["v", "pos"] and SortSpec().key("v").merge([]).count() == 0
+
+
+def test_rows_after_across_partitions(spark):
+    """The follower of a partition's last row heads the next partition that has rows."""
+    df = spark.range(0, 100, 1, 7).where("id not between 14 and 43").withColumn("v", F.when(F.col("id") % 3 > 0, F.col("id").cast("string")))
+    got = [tuple(r) for r in position.with_next(position.fixed(df), ["id", "v"]).collect()]
+    ids = [i for i in range(100) if not 14 <= i <= 43]
+    name = lambda i: None if i is None or i % 3 == 0 else str(i)
+    assert got == [(i, name(i), j, name(j)) for i, j in zip(ids, [*ids[1:], None], strict=True)]
+    assert position.with_next(position.fixed(df.where("id < 0")), ["id"]).count() == 0

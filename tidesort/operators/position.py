@@ -16,6 +16,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from tidesort.operators.orders import Order
 
@@ -117,3 +118,43 @@ def keep_first_of_runs(fixed_df: DataFrame, columns: list[str]) -> DataFrame:
             yield batch.filter(keep)
 
     return fixed_df.mapInArrow(first, fixed_df.schema)
+
+
+def with_next(fixed_df: DataFrame, columns: list[str], prefix: str = "next_") -> DataFrame:
+    """Each row with ``columns`` of the row after it, across partitions, named with ``prefix``; null after the last row.
+
+    One narrow pass takes the first values of each partition (a row a partition for the driver), a second adds the columns;
+    nothing is shuffled.
+    """
+    head_schema = fixed_df.select(F.lit(0).alias("__p"), *columns).schema
+    out_schema = StructType([*fixed_df.schema.fields, *(StructField(prefix + c, fixed_df.schema[c].dataType) for c in columns)])
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = next((b.slice(0, 1) for b in batches if b.num_rows), None)
+        for _ in batches:
+            pass  # a worker is used again only when its input is read
+        if first is not None:
+            p = pa.array([TaskContext.get().partitionId()], pa.int32())
+            yield pa.RecordBatch.from_arrays([p, *first.columns], ["__p", *columns])
+
+    found = fixed_df.select(*columns).mapInArrow(heads, head_schema).toArrow().sort_by("__p")
+    at = found.column("__p").to_pylist()
+    values = list(zip(*(found.column(c).to_pylist() for c in columns), strict=True))
+    after = dict(zip(at[:-1], values[1:], strict=True)) if at else {}
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def joined(batch: pa.RecordBatch, following: list[pa.Array]) -> pa.RecordBatch:
+            more = [pa.concat_arrays([batch.column(c).slice(1), x.cast(batch.column(c).type)]) for c, x in zip(columns, following, strict=True)]
+            return pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, *(prefix + c for c in columns)])
+
+        held = None
+        for batch in batches:
+            if batch.num_rows:
+                if held is not None:
+                    yield joined(held, [batch.column(c).slice(0, 1) for c in columns])
+                held = batch
+        if held is not None:
+            own = after.get(TaskContext.get().partitionId(), [None] * len(columns))
+            yield joined(held, [pa.array([v], held.column(c).type) for c, v in zip(columns, own, strict=True)])
+
+    return fixed_df.mapInArrow(follow, out_schema)

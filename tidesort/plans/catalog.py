@@ -16,7 +16,7 @@ from tidesort.operators import keys, orders
 from tidesort.operators.dedup import Dedup, ordered_distinct, reduce_by_key
 from tidesort.operators.merge import merge_keyed, merge_sorted
 from tidesort.operators.orders import Order
-from tidesort.operators.position import with_position
+from tidesort.operators.position import with_next, with_position
 from tidesort.plans.spec import SortSpec
 from tidesort.sources.records import MIXED_SQL, READS_SQL, record_bytes
 
@@ -254,11 +254,11 @@ def _records() -> dict[str, tuple[Query, str]]:
     )
 
     def pairs(spark: SparkSession, d: str) -> DataFrame:
-        """Each record against its follower in sequence order."""
-        rows = SortSpec().sort_by_illumina().run(reads(spark, d, True))
-        left = rows.select("pos", F.struct("name", "sequence", "quality").alias("a"))
-        right = rows.select((F.col("pos") - 1).alias("pos"), F.struct("name", "sequence", "quality").alias("b"))
-        return left.join(right, "pos").select("pos", predicates.has_same_name("a", "b").alias("same_name"), predicates.has_same_sequence("a", "b").alias("same_sequence"), predicates.has_same_sequence_and_quality("a", "b").alias("same_both"))
+        """Each record against its follower in sequence order, which lies in the same range partition or heads the next."""
+        fields = ["name", "sequence", "quality"]
+        rows = with_next(SortSpec().sort_by_illumina().run(reads(spark, d, True)), ["pos", *fields])
+        both = rows.where("next_pos is not null").select("pos", F.struct(*fields).alias("a"), F.struct(*(F.col(f"next_{c}").alias(c) for c in fields)).alias("b"))
+        return both.select("pos", predicates.has_same_name("a", "b").alias("same_name"), predicates.has_same_sequence("a", "b").alias("same_sequence"), predicates.has_same_sequence_and_quality("a", "b").alias("same_both"))
 
     out["record_predicates"] = (
         pairs,
