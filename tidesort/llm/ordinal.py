@@ -246,7 +246,9 @@ def train(docs: DataFrame, ratings: DataFrame, grade: str = "grade", grades: int
     rows = docs.select(F.col(f"`{key}`").alias("k"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).join(F.broadcast(sample), "k")
     rows = rows.groupBy("k", "g").agg(F.min("text").alias("text"))
     key_text = F.col("k").cast("string")
-    rows = written(rows.select(key_text.alias("k"), "g", (F.crc32(key_text) % 5 == 4).alias("held"), "text"), "rated")
+    rows = rows.select(key_text.alias("k"), "g", (F.crc32(key_text) % 5 == 4).alias("held"), "text")
+    # The sample is bounded, so a task for each thousand rows is enough, however many partitions a shuffle has.
+    rows = written(rows.coalesce(max_rows // 1000 + 1), "rated")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, total = Features(bits), np.zeros((2 * grades, (1 << bits) + 1), np.int32)
