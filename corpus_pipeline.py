@@ -14,15 +14,25 @@ from tidesort.llm import ngram_join, ordinal, packing, pii, quality_rules
 from tidesort.llm.graph import written
 
 
+def _free(df: DataFrame, name: str) -> str:
+    """``name``, longer by as many underscores as it takes to be no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def _kept(df: DataFrame, verdict: str, columns: list[str]) -> DataFrame:
     """Rows with a true verdict.  The row number keeps the optimizer from writing the verdict's expression out below."""
-    marked = df.withColumn("__row", F.monotonically_increasing_id())
-    return marked.where(F.col(verdict) & (F.col("__row") >= 0)).select(*(F.col(f"`{c}`") for c in columns))
+    row = _free(df, "__row")
+    marked = df.withColumn(row, F.monotonically_increasing_id())
+    return marked.where(F.col(verdict) & (F.col(row) >= 0)).select(*(F.col(f"`{c}`") for c in columns))
 
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the threshold table accepts; empty and null texts go."""
-    return _kept(quality_rules.apply_rules(docs, out="__rules", kept="__kept"), "__kept", docs.columns)
+    rules, kept = _free(docs, "__rules"), _free(docs, "__kept")
+    return _kept(quality_rules.apply_rules(docs, out=rules, kept=kept), kept, docs.columns)
 
 
 def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,25 +43,27 @@ def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str)
     """
     raw = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = ordinal.train(raw, ordinal.graded(spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    rated = ordinal.score(docs, model, out="__rating").withColumn("__kept", F.col("__rating.tails")[1] >= model.cut)
-    return rated.where("__kept").select(*(F.col(f"`{c}`") for c in docs.columns))
+    rating = _free(docs, "__rating")
+    rated = ordinal.score(docs, model, out=rating)
+    return rated.where(F.col(f"{rating}.tails")[1] >= model.cut).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates (five-word shingles, similarity 0.8): the one with the least id.
 
-    Groups are of rows, as one id may stand at different texts.  Of blank rows that repeat both id and text one stays;
-    rows without an id stay once for each different text.
+    Groups are of rows, as one id may stand at different texts.  Rows without an id are grouped like others and stay only where
+    no row of their group has an id.  Of blank rows that repeat both id and text one stays; texts are compared whole, however
+    long; an empty table stays empty; columns of any names are carried through.
     """
-    rows = written(docs.where("doc_id is not null").withColumn("__near", F.monotonically_increasing_id()), "rows")
-    found = written(ngram_join.join_documents(rows, ngram_join.Rule(width=5, least=80), key="__near"), "groups")
-    first = F.min(F.struct("doc_id", "__near"))["__near"].alias("__near")
-    named = found.where("n_shingles > 0").join(rows.select("__near", "doc_id"), "__near").groupBy("component").agg(first).select("__near")
-    blank = rows.where(~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")).groupBy("doc_id", "text").agg(F.min("__near").alias("__near")).select("__near")
-    gone = written(found.select("__near").join(named.union(blank), "__near", "left_anti"), "gone")
+    near = _free(docs, "__near")
+    rows = written(docs.withColumn(near, F.monotonically_increasing_id()), "rows")
+    found = written(ngram_join.join_documents(rows, ngram_join.Rule(width=5, least=80), key=near), "groups")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", near))[near].alias(near)
+    named = found.where("n_shingles > 0").join(rows.select(near, "doc_id"), near).groupBy("component").agg(first).select(near)
+    blank = rows.where(~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")).groupBy("doc_id", "text").agg(F.min(near).alias(near)).select(near)
+    gone = written(found.select(near).join(named.union(blank), near, "left_anti"), "gone")
     few = gone.limit(ngram_join.BROADCAST_ROWS + 1).count() <= ngram_join.BROADCAST_ROWS
-    kept = rows.join(F.broadcast(gone) if few else gone, "__near", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
-    return kept.unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
+    return rows.join(F.broadcast(gone) if few else gone, near, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,8 +72,9 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null text stays null, an empty one empty; very long texts are redacted whole; of overlapping spans the first names the
     replacement; repeated rows are redacted alike, also those without an id; an empty table stays empty.
     """
-    marked = pii.find_pii(docs, pii.train(docs), out="__pii")
-    clean = pii.redact(marked, spans="__pii")
+    spans = _free(docs, "__pii")
+    marked = pii.find_pii(docs, pii.train(docs), out=spans)
+    clean = pii.redact(marked, spans=spans)
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return clean.select(*(F.col(f"`{c}`") for c in docs.columns))
