@@ -39,7 +39,7 @@ def test_stages(spark, tables):
     assert not [r for r in kept["quality_rules"] if r.doc_id in range(300, 320) or r.doc_id in (500, 501)]
     assert len(kept["quality_rules"]) == 30 + 10 + 20 + 2
     assert ids("quality_classifier") == sorted([str(i) for i in range(30)] + [str(100 + i) for i in range(5)] + [str(200 + i) for i in range(5)] + ["7", "None"])
-    assert ids("near_duplicates") == sorted([str(i) for i in range(30)] + ["None"])
+    assert ids("near_duplicates") == sorted(str(i) for i in range(30))  # the row without an id repeats good[3]
     assert ids("pii") == ids("near_duplicates")
     for r in kept["pii"]:
         assert "@" not in r.text and "[email]" in r.text and r.n_chars == len(r.text)
@@ -51,9 +51,26 @@ def test_one_id_at_several_texts(spark):
 
     text = lambda x: " ".join(f"{x}{i}" for i in range(60))
     rows = [(3, text("y")), (5, text("y") + " more"), (5, text("x")), (9, text("x")), (7, text("z")), (7, text("z") + " end"), (8, " "), (8, " "), (8, "")]
+    rows += [(None, text("y") + " again"), (None, text("w")), (None, text("w") + " end"), (None, text("v")), (None, ""), (None, "")]
     out = c.near_duplicates_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
-    got = sorted((r.doc_id, r.text) for r in out if r.doc_id != 7)
-    assert got == sorted([(3, text("y")), (5, text("x")), (8, " "), (8, "")]) and len([r for r in out if r.doc_id == 7]) == 1
+    got = sorted(((r.doc_id, r.text) for r in out if r.doc_id != 7 and "w0" not in r.text), key=str)
+    assert got == sorted([(3, text("y")), (5, text("x")), (8, " "), (8, ""), (None, text("v")), (None, "")], key=str)
+    assert len([r for r in out if r.doc_id == 7]) == 1 and len([r for r in out if "w0" in r.text]) == 1
+
+
+def test_stages_carry_columns_of_their_own_names(spark, tables):
+    """Clashing names, a null text, an empty one and a long one pass each stage unharmed."""
+    import corpus_pipeline as c
+
+    long = "the mail of the house is a@b.example and so on " + " ".join(f"w{i} of" for i in range(40_000))
+    rows = [(1, long, 7, "a", 1.5, True, "x"), (2, None, 7, "b", 2.5, False, "y"), (3, "", None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __near int, __KEPT string, __rating double, __row boolean, __pii string")
+    for name, stage in c.STAGES[:-1]:
+        out = stage(spark, docs, str(tables))
+        assert out.columns == docs.columns, name
+        got = {r.doc_id: tuple(r)[2:] for r in out.collect()}
+        assert got.items() <= {r[0]: r[2:] for r in rows}.items() and (1 in got or name == "quality_classifier"), name
+    assert c.STAGES[-1][1](spark, docs, str(tables)).where("doc_id = 1").agg({"size": "sum"}).first()[0] == len(long.split())
 
 
 def test_run_on_an_empty_table(spark, tables, tmp_path):

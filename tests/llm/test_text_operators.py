@@ -48,12 +48,23 @@ def test_quality_rules(docs, empty):
         want = (len(w), sum(map(len, w)), len(re.findall("[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered))
         q = r.quality
         assert (q.n_words, q.word_chars, q.n_symbols, q.n_dup_lines, q.n_repeat_words) == want, t[:60]
+        assert q.n_stop_words == sum(x.lower() in quality_rules.STOP_WORDS for x in w)
         failed = len(w) < 10 or 100 * len(covered) > 20 * len(w)
         if failed:
             assert not r.kept
     assert quality_rules.apply_rules(empty).count() == 0
 
 
+def test_stop_words_count_in_any_case_and_for_their_script_alone(spark):
+    names = " ".join(f"n{i}x" for i in range(60))
+    cyrillic = " ".join(f"{w}{i}" for i in range(15) for w in ("дом", "река", "и", "слово"))
+    texts = [names, f"{names} THE HOUSE OF THE MAN", cyrillic, f"{names} {cyrillic} и", f"{names} и {cyrillic[:40]}", " ".join(f"12{i}!" for i in range(60)), " ".join(f"ǅungla{i}µª" for i in range(60))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.kept, r.quality.n_other_script) for r in quality_rules.apply_rules(df).collect()}
+    assert [got[i][0] for i in range(7)] == [False, True, True, True, False, False, False]
+    assert got[2][1] == 60 and got[5][1] == got[6][1] == got[0][1] == 0
+
+
 def secrets_base(t):
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[2]) >= 6]
     out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]

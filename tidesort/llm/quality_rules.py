@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from tidesort.llm.spans import BLANK, BLANK_CHARS
 
 SYMBOLS = r"[#*$%&|<>]"
+#: Letters of other scripts than Latin.
+OTHER_SCRIPT = r"[^\x00-\x{24F}\P{L}\p{IsLatin}]"
 #: Frequent function words of the languages of the corpus, as they stand inside a sentence.
 STOP_WORDS = (
     "the of to and in is it that for was on are as with he be by at this have from or an not which you a "
@@ -30,7 +32,10 @@ STOP_WORDS = (
 
 @dataclass(frozen=True)
 class Rule:
-    """``low <= top / bottom <= high``; a rule holds where its bottom is 0 and for texts of fewer than ``from_words`` words."""
+    """``low <= top / bottom <= high``; a rule holds where its bottom is 0 and for texts of fewer than ``from_words`` words.
+
+    Where more than half of the words count in ``unless``, it holds as well.
+    """
 
     name: str
     top: str
@@ -38,13 +43,15 @@ class Rule:
     low: float | None = None
     high: float | None = None
     from_words: int = 0
+    unless: str | None = None
 
 
 #: Production thresholds.  They are read by :func:`verdict` alone; each line is one ratio of two measures.
 TABLE = (
     Rule("word_length", "word_chars", "n_words", low=1.0, high=20.0),
     Rule("symbols", "n_symbols", "n_words", high=0.25),
-    Rule("stop_words", "n_stop_words", "n_words", low=0.02, from_words=50),
+    # The list knows languages of Latin script alone, so texts mostly in other scripts are not judged by it.
+    Rule("stop_words", "n_stop_words", "n_words", low=0.02, from_words=50, unless="n_other_script"),
     Rule("duplicate_lines", "n_dup_lines", "n_lines", high=0.5),
 )
 
@@ -56,7 +63,10 @@ def words_of(text: Column) -> Column:
 
 
 def measure(df: DataFrame, text: str = "text", out: str = "quality", window: int = 5) -> DataFrame:
-    """Adds struct ``out``: n_words, word_chars, n_symbols, n_stop_words, n_lines, n_dup_lines, n_repeat_words (long)."""
+    """Adds struct ``out``: n_words, word_chars, n_symbols, n_stop_words, n_other_script, n_lines, n_dup_lines, n_repeat_words (long).
+
+    Stop words count in any case; ``n_other_script`` counts words with a letter of another script than Latin.
+    """
     kept = [F.col(f"`{c}`") for c in df.columns if c != out]
     words, lines, hashes, ranked, places = "__q_words", "__q_lines", "__q_hashes", "__q_ranked", "__q_places"
     df = df.select(*kept, F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__q_text"))
@@ -111,12 +121,14 @@ def measure(df: DataFrame, text: str = "text", out: str = "quality", window: int
         lambda a, p: F.struct((p + window).alias("end"), (a["n"] + p + window - F.greatest(p, a["end"])).alias("n")),
         lambda a: a["n"],
     )
-    stop = F.size(F.filter(F.col(words), lambda w: w.isin(*STOP_WORDS)))
+    stop = F.size(F.filter(F.col(words), lambda w: F.lower(w).isin(*STOP_WORDS)))
+    other = F.when(F.col("__q_text").rlike(OTHER_SCRIPT), F.size(F.filter(F.col(words), lambda w: w.rlike(OTHER_SCRIPT)))).otherwise(0)
     counts = {
         "n_words": n,
         "word_chars": F.length(F.array_join(words, "")),
         "n_symbols": F.regexp_count(F.col("__q_text"), F.lit(SYMBOLS)),
         "n_stop_words": stop,
+        "n_other_script": other,
         "n_lines": F.size(lines),
         "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
         "n_repeat_words": F.coalesce(covered, F.lit(0)),
@@ -140,6 +152,8 @@ def verdict(q: Column, table: tuple[Rule, ...] = TABLE) -> Column:
             holds = holds & (top >= F.lit(rule.low) * bottom)
         if rule.high is not None:
             holds = holds & (top <= F.lit(rule.high) * bottom)
+        if rule.unless:
+            holds = holds | (2 * q[rule.unless] > q["n_words"])
         good = good & (holds | (bottom == 0) | (q["n_words"] < rule.from_words))
     return good
 

@@ -40,7 +40,7 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = quality_rules.apply_rules(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_stop_words", "n_lines")
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_stop_words", "n_other_script", "n_lines")
     return q.select("doc_id", *(f"quality.{c}" for c in names), quality_rules.base_failed(F.col("quality")).alias("base_failed"), "kept")
 
 
@@ -54,11 +54,12 @@ c AS (SELECT doc_id, sum(least(5, coalesce(nxt - i, 5))) AS n FROM (SELECT doc_i
 m AS (SELECT s.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
         (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
         (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words,
-        len(list_filter(w, lambda x: list_contains([STOP], x)))::BIGINT AS n_stop_words, len(l)::BIGINT AS n_lines
+        len(list_filter(w, lambda x: list_contains([STOP], lower(x))))::BIGINT AS n_stop_words,
+        len(list_filter(w, lambda x: regexp_matches(x, '[^\\x00-\\x{24F}\\P{L}\\p{Latin}]')))::BIGINT AS n_other_script, len(l)::BIGINT AS n_lines
       FROM s LEFT JOIN c USING (doc_id)),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
 SELECT *, NOT base_failed AND word_chars BETWEEN n_words AND 20 * n_words AND n_symbols <= 0.25 * n_words
-    AND (n_words < 50 OR n_stop_words >= 0.02 * n_words) AND n_dup_lines <= 0.5 * n_lines AS kept
+    AND (n_words < 50 OR 2 * n_other_script > n_words OR n_stop_words >= 0.02 * n_words) AND n_dup_lines <= 0.5 * n_lines AS kept
 FROM b
 """.replace("[STOP]", "[" + ", ".join(f"'{w}'" for w in dict.fromkeys(quality_rules.STOP_WORDS)) + "]")
 
