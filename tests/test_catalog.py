@@ -12,7 +12,7 @@ from tidesort.plans import catalog
 
 DATA = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="the driver's tables are not here")
-SOME = ["u64_sort_desc", "ci_desc_sort", "computed_key_sort", "adjacent_dedup_prefix", "adjacent_dedup_fold", "merge_coarse_key", "topk", "seq_sort_mixed", "seq_reverse_dedup_sequence", "length_dedup_name", "packed_key_mixed", "codec_binned_dedup", "coarse_packed_merge", "record_predicates", "merge_no_run", "codec_bytes", "packed_key_bytes", "sort_with_key", "codec_user"]
+SOME = ["u64_sort_desc", "ci_desc_sort", "computed_key_sort", "adjacent_dedup_prefix", "adjacent_dedup_fold", "merge_coarse_key", "topk", "seq_sort_mixed", "seq_reverse_dedup_sequence", "length_dedup_name", "packed_key_mixed", "codec_binned_dedup", "coarse_packed_merge", "record_predicates", "merge_no_run", "codec_bytes", "packed_key_bytes", "sort_with_key", "codec_user", "sort_with_hints", "sort_to_files", "dedup_with_function", "comparator_sort"]
 
 
 def database():

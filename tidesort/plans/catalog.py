@@ -6,9 +6,10 @@ sees the order.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidesort.functions import predicates, transforms
@@ -16,8 +17,8 @@ from tidesort.operators import keys, orders
 from tidesort.operators.dedup import Dedup, ordered_distinct, reduce_by_key
 from tidesort.operators.merge import merge_keyed, merge_sorted
 from tidesort.operators.orders import Order
-from tidesort.operators.position import with_next, with_position
-from tidesort.plans.spec import SortSpec
+from tidesort.operators.position import fixed, numbered, use_shared_dir, with_next, with_position
+from tidesort.plans.spec import MergeConfig, SortSpec
 from tidesort.sources.records import MIXED_SQL, READS_SQL, record_bytes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,6 +72,29 @@ def _dedup_sql(source: str, order: str, columns: tuple[str, ...]) -> str:
     SELECT name, sequence, quality, row_number() OVER (ORDER BY n) AS pos FROM k WHERE fresh"""
 
 
+def by_last_digit_then_down(a: tuple, b: tuple) -> int:
+    """A comparator of one number; executors find it by its name."""
+    x, y = (a[0] % 10, -a[0]), (b[0] % 10, -b[0])
+    return (x > y) - (x < y)
+
+
+def through_files(df: DataFrame, spec: SortSpec) -> DataFrame:
+    """Rows as a reader of the written files finds them: files by name, rows as they stand, with positions.
+
+    The files lie in the shared folder and go when the session's JVM ends.  One row a file gives the offsets.
+    """
+    spark = df.sparkSession
+    use_shared_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/sink-{uuid.uuid4().hex}"
+    spec.write_to(df, path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    rows = spark.read.schema(df.schema).parquet(path).select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at"))
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    files = rows.groupBy("file").agg(F.count("*").alias("n")).select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    return rows.join(files, "file").select(*df.columns, (F.col("base") + F.col("at") + 1).alias("pos"))
+
+
 def _tables() -> dict[str, tuple[Query, str]]:
     """Sorts, merges and dedup over the generic tables."""
     out: dict[str, tuple[Query, str]] = {}
@@ -138,6 +162,20 @@ def _tables() -> dict[str, tuple[Query, str]]:
         lambda spark, d: merge_sorted([], orders.natural("o_custkey"), schema=table(spark, d, "orders").select("o_orderkey", "o_custkey").schema),
         "SELECT o_orderkey, o_custkey, 0::BIGINT AS pos FROM orders WHERE false",
     )
+    by_customer, customers = SortSpec().key("o_custkey"), lambda spark, d: table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    placed = "SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_custkey, o_orderkey) AS pos FROM orders"
+    small = by_customer.memory_budget(1 << 20).max_buffer_items(100).merge_config(MergeConfig(max_fan_in=2)).arena().sort_with_sequential()
+    out["sort_with_hints"] = (lambda spark, d: small.run(customers(spark, d)), placed)
+    out["sort_to_files"] = (lambda spark, d: through_files(customers(spark, d), by_customer), placed)
+    firsts = by_customer.dedup_with(lambda rows: rows.groupBy("o_custkey").agg(F.min("pos").alias("first_pos"), F.count("*").alias("n_rows")))
+    out["dedup_with_function"] = (
+        lambda spark, d: firsts.run(customers(spark, d)),
+        f"SELECT o_custkey, min(pos) AS first_pos, count(*) AS n_rows FROM ({placed}) GROUP BY o_custkey",
+    )
+    out["comparator_sort"] = (
+        lambda spark, d: numbered(fixed(orders.sort_by_comparator(table(spark, d, "supplier").select("s_suppkey"), ["s_suppkey"], by_last_digit_then_down))),
+        "SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey % 10, s_suppkey DESC) AS pos FROM supplier",
+    )
     top = "SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice, row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey) AS pos FROM lineitem"
 
     def topk(spark: SparkSession, d: str) -> DataFrame:
