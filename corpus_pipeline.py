@@ -2,16 +2,32 @@
 
 Each stage takes (spark, docs, sf_dir), works on every row its predecessor kept, and returns a DataFrame that is written
 as Parquet and read again as the next stage's ``docs``.  All but the last return the columns of ``docs``; other columns
-than ``doc_id``, ``text`` and ``n_chars`` are carried through as they are, and any column may hold nulls.
+than ``doc_id``, ``text`` and ``n_chars`` are carried through as they are, and any column may hold nulls.  Each sends the package
+to the executors, so stages can also be called one by one, without the registered query.
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidesort.llm import ngram_join, ordinal, packing, pii, quality_rules
 from tidesort.llm.graph import written
+from tidesort.session import ship
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _shipped(stage: Stage) -> Stage:
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
 
 
 def _free(df: DataFrame, name: str) -> str:
@@ -29,12 +45,14 @@ def _kept(df: DataFrame, verdict: str, columns: list[str]) -> DataFrame:
     return marked.where(F.col(verdict) & (F.col(row) >= 0)).select(*(F.col(f"`{c}`") for c in columns))
 
 
+@_shipped
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the threshold table accepts; empty and null texts go."""
     rules, kept = _free(docs, "__rules"), _free(docs, "__kept")
     return _kept(quality_rules.apply_rules(docs, out=rules, kept=kept), kept, docs.columns)
 
 
+@_shipped
 def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose probability of the top grade reaches the cut of the model; the model learns from the rated raw documents.
 
@@ -48,6 +66,7 @@ def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str)
     return rated.where(F.col(f"{rating}.tails")[1] >= model.cut).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
+@_shipped
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates (five-word shingles, similarity 0.8): the one with the least id.
 
@@ -66,6 +85,7 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return rows.join(F.broadcast(gone) if few else gone, near, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
+@_shipped
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, its personal data replaced by ``[kind]`` and ``n_chars`` counted anew.
 
@@ -80,6 +100,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return clean.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
+@_shipped
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each text lies: doc_id, piece, start, size, bin_id, bin_length, offset (in words).
 

@@ -1,10 +1,14 @@
 """The pipeline's decisions against plain Python on a small fixture, and the registered SQL against DuckDB."""
 
+import os
+import subprocess
+import sys
 from pathlib import Path
 
 import duckdb
 import pytest
 
+ROOT = Path(__file__).resolve().parents[2]
 DATA = Path("/root/testdata/sf0.001")
 
 
@@ -73,6 +77,26 @@ def test_stages_carry_columns_of_their_own_names(spark, tables):
     assert c.STAGES[-1][1](spark, docs, str(tables)).where("doc_id = 1").agg({"size": "sum"}).first()[0] == len(long.split())
 
 
+def test_stages_alone_where_executors_lack_the_package(tables, tmp_path):
+    """The second stage is the first that needs Python on the executors; here only the driver can import the repository."""
+    code = f"""
+import sys
+sys.path.insert(0, {str(ROOT)!r})
+from pyspark.sql import SparkSession
+import corpus_pipeline as c
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "4").getOrCreate()
+docs = spark.read.parquet({str(tables / "documents.parquet")!r})
+for name, stage in c.STAGES[:2]:
+    docs = c.written(stage(spark, docs, {str(tables)!r}), name)
+assert docs.count() == 42, docs.count()
+"""
+    cwd = tmp_path / "elsewhere"
+    cwd.mkdir()
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH" and "SPARK" not in k} | {"PYSPARK_PYTHON": sys.executable}
+    done = subprocess.run([sys.executable, "-c", code], cwd=cwd, env=env, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-3000:]
+
+
 def test_run_on_an_empty_table(spark, tables, tmp_path):
     import corpus_pipeline as c
 
