@@ -317,3 +317,61 @@ def test_rows_after_across_partitions(spark):
     name = lambda i: None if i is None or i % 3 == 0 else str(i)
     assert got == [(i, name(i), j, name(j)) for i, j in zip(ids, [*ids[1:], None], strict=True)]
     assert position.with_next(position.fixed(df.where("id < 0")), ["id"]).count() == 0
+
+
+def test_equal_keys_come_into_one_range_without_a_window(spark):
+    """One shuffle by bounds of the key in place of a window by key and a range shuffle."""
+    df = spark.createDataFrame([(f"n{i * 7919 % 1500:04}", i) for i in range(6000)], "name string, v int").repartition(4)
+    rows = position.ranged(df, orders.natural("name"), 5, once=("name",))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "rangepartitioning" not in plan
+    found = {}
+    for r in rows.select("name", F.spark_partition_id().alias("p")).collect():
+        found.setdefault(r.name, set()).add(r.p)
+    assert len(found) == 1500 and all(len(p) == 1 for p in found.values()) and len(set.union(*found.values())) == 5
+    got = ordered_distinct(df, orders.natural("name"), Dedup(("name",)), partitions=5)
+    assert values(got, "name", "v") == [(f"n{k:04}", min(i for i in range(6000) if i * 7919 % 1500 == k)) for k in range(1500)]
+
+
+def test_repeated_keys_are_dropped_before_they_travel(spark):
+    import pyarrow as pa
+
+    def sent(by, once):
+        table = pa.RecordBatch.from_pydict({"p": pa.array([0] * 9000, pa.int32()), "k": [f"k{i % 3}" for i in range(9000)], "v": list(range(9000, 0, -1))})
+        return list(position._unpack(position._pack(iter([table]), "p", by, once)))
+
+    order = [("k", "descending"), ("v", "ascending")]
+    assert [r for b in sent(order, ("k",)) for r in b.to_pylist()] == [{"k": "k2", "v": 1}, {"k": "k1", "v": 2}, {"k": "k0", "v": 3}]
+    assert sum(b.num_rows for b in sent([], ())) == 9000
+
+
+def test_records_travel_packed(spark):
+    """Reads take less than half of their bytes in a shuffle."""
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    text = lambda letters: "".join(rng.choice(letters) for _ in range(150))
+    rows = pa.RecordBatch.from_pydict({"p": pa.array([0] * 2000, pa.int32()), "sequence": [text("ACGT") for _ in range(2000)], "quality": [text("!#%&*+-5:;<=?AEI") for _ in range(2000)]})
+    sent = list(position._pack(iter([rows]), "p", [], ()))
+    assert sum(len(x.as_py()) for b in sent for x in b.column("rows")) < 150_000 + 150_000
+    assert pa.Table.from_batches(position._unpack(iter(sent))).equals(pa.Table.from_batches([rows.drop_columns(["p"])]))
+
+
+@pytest.mark.parametrize("down", [False, True])
+def test_types_and_nulls_in_range_bounds(spark, down):
+    """Values of every type that is compared, with nulls in the columns that break ties, over several ranges."""
+    from pyspark.sql import Row
+
+    made = spark.range(3000).select(
+        (F.col("id") % 7 - 3).cast("decimal(9,2)").alias("a"),
+        F.when(F.col("id") % 5 > 0, F.timestamp_micros(F.xxhash64("id") % 10**15)).alias("t"),
+        F.when(F.col("id") % 3 > 0, F.md5(F.col("id").cast("string")).cast("binary")).alias("b"),
+        F.when(F.col("id") % 11 == 0, float("nan")).otherwise(F.rand(1)).alias("x"),
+        F.array("id").alias("list"),
+    ).persist()
+    order = orders.natural("a")
+    order = order.reversed() if down else order
+    got = with_position(made, order, partitions=6)
+    assert got.select(F.spark_partition_id()).distinct().count() == 6
+    plain = lambda rows: [tuple("nan" if v != v else bytes(v) if isinstance(v, bytearray) else v for v in Row(*r)) for r in rows]
+    assert plain(got.orderBy("pos").drop("pos").collect()) == plain(made.orderBy(*order.columns(made)).collect())
