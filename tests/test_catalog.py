@@ -49,3 +49,15 @@ def test_entry_runs(spark):
     df = module.entry(spark)
     assert df.columns == ["name", "sequence", "quality", "pos"] and df.count() > 0
     assert set(module.oracle_sql()) <= set(module.queries())
+
+
+def test_sequences_of_records_are_made_once_each(spark):
+    """The sequence comes from a broadcast table of remainders, also for negative and missing part keys."""
+    from tidesort.sources.records import READS_SQL
+
+    rows = [(k, k % 7, p) for k, p in enumerate([0, 1, 499, 500, 501, -1, -499, -500, -1234, None, 10**12])]
+    lines = spark.createDataFrame(rows, "l_orderkey long, l_linenumber long, l_partkey long")
+    want = spark.sql(READS_SQL.replace("{S}", "string").replace("FROM lineitem", "FROM {lineitem}"), lineitem=lines).select("name", "sequence", "quality")
+    got = catalog.records_of(lines).select("name", "sequence", "quality")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert "Join" in got._jdf.queryExecution().optimizedPlan().toString()
