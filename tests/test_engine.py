@@ -375,3 +375,11 @@ def test_types_and_nulls_in_range_bounds(spark, down):
     assert got.select(F.spark_partition_id()).distinct().count() == 6
     plain = lambda rows: [tuple("nan" if v != v else bytes(v) if isinstance(v, bytearray) else v for v in Row(*r)) for r in rows]
     assert plain(got.orderBy("pos").drop("pos").collect()) == plain(made.orderBy(*order.columns(made)).collect())
+
+
+
+def test_a_format_is_applied_once(spark):
+    """It is applied before the rows are stored, not in each pass over them."""
+    df = spark.createDataFrame([("a", "AC", "!5"), ("b", "AC", "!6"), ("c", "T", "~~")], "name string, sequence string, quality string")
+    out = SortSpec().sort_by_illumina().binned_quality().dedup_by_sequence_and_quality().run(df)
+    assert "translate" not in out._jdf.queryExecution().optimizedPlan().toString() and values(out, "name") == ["a", "c"]

@@ -187,7 +187,7 @@ class SortSpec:
         elif self.dedup.predicate is not None:
             raise ValueError("a predicate and a lossy format can't be combined; pass the formatted rows in")
         else:
-            rows = keep_first_of_runs(self.format.apply(fixed(ranged(df, order))), list(self.dedup.columns))
+            rows = keep_first_of_runs(fixed(self.format.apply(ranged(df, order))), list(self.dedup.columns))
             out = numbered(rows, pos) if pos else rows
         if self.keyer:
             out = self.keyer[0].attach(out, self.keyer[1])
