@@ -383,3 +383,13 @@ def test_a_format_is_applied_once(spark):
     df = spark.createDataFrame([("a", "AC", "!5"), ("b", "AC", "!6"), ("c", "T", "~~")], "name string, sequence string, quality string")
     out = SortSpec().sort_by_illumina().binned_quality().dedup_by_sequence_and_quality().run(df)
     assert "translate" not in out._jdf.queryExecution().optimizedPlan().toString() and values(out, "name") == ["a", "c"]
+
+
+def test_a_merge_samples_its_runs_before_the_union(spark):
+    from tidesort.operators import merge
+
+    runs = [ints(spark, range(k, 6000, 3)) for k in range(3)]
+    plan = merge._some(runs, 0.5)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Union") < plan.index("rand(")
+    got = ordered_distinct(union_all(runs), orders.natural("v"), partitions=4, some=lambda share: merge._some(runs, share))
+    assert values(got, "v") == list(range(6000))
