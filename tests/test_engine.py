@@ -377,6 +377,12 @@ def test_types_and_nulls_in_range_bounds(spark, down):
     assert plain(got.orderBy("pos").drop("pos").collect()) == plain(made.orderBy(*order.columns(made)).collect())
 
 
+def test_a_fold_sorts_chunks_and_no_rows(spark):
+    rows = position.fixed(spark.range(0, 300_000, 1, 3).withColumnRenamed("id", "v"))
+    assert position.in_chunks(rows).count() <= 9
+    spec = SortSpec().key("v").dedup_when(lambda a, b: b["v"] - a["v"] < 1000)
+    assert values(spec.run(spark.range(100_000).withColumnRenamed("id", "v").repartition(3)), "v") == list(range(0, 100_000, 1000))
+
 
 def test_a_format_is_applied_once(spark):
     """It is applied before the rows are stored, not in each pass over them."""

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidesort.operators.orders import Order
-from tidesort.operators.position import Some, first_of_runs_within, fixed, has_bounds, keep_first_of_runs, numbered, ranged
+from tidesort.operators.position import Some, first_of_runs_within, fixed, has_bounds, in_chunks, keep_first_of_runs, numbered, ranged, unpacked
 
 
 @dataclass(frozen=True)
@@ -49,8 +49,8 @@ def first_of_key(df: DataFrame, order: Order, columns: tuple[str, ...]) -> DataF
 def fold(fixed_df: DataFrame, equal: Callable[[dict, dict], bool]) -> DataFrame:
     """Keeps a row unless ``equal(last kept row, row)``.
 
-    What is kept depends on all rows before, so this is one task; it sorts the rows by partition and place (sorted runs that
-    spill to disk) and holds one row.  It is for predicates that are no equivalence; for keys use columns.
+    What is kept depends on all rows before, so this is one task; it sorts packed chunks of rows by partition and
+    place (sorted runs that spill to disk), unpacks one after the other and holds one row.  It is for predicates that are no equivalence; for keys use columns.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -65,8 +65,8 @@ def fold(fixed_df: DataFrame, equal: Callable[[dict, dict], bool]) -> DataFrame:
             yield frame[pd.Series(keep, index=frame.index, dtype=bool)]
 
     at = "__at"
-    in_order = fixed_df.withColumn(at, F.monotonically_increasing_id()).repartition(1).sortWithinPartitions(at).drop(at)
-    return in_order.mapInPandas(run, fixed_df.schema)
+    in_order = in_chunks(fixed_df).withColumn(at, F.monotonically_increasing_id()).repartition(1).sortWithinPartitions(at).drop(at)
+    return unpacked(in_order, fixed_df.schema).mapInPandas(run, fixed_df.schema)
 
 
 def reduce_by_key(df: DataFrame, keys: list[Column | str], *aggregates: Column) -> DataFrame:
