@@ -181,6 +181,41 @@ def test_neighbours_of_huge_components_and_repeated_ids(spark):
     assert {v for _, v, _ in found[50]} <= {0, 2, 7}
 
 
+def recall_of(df, vectors, **options):
+    """Share of the true neighbours of every fiftieth vector that self_search finds; and the index."""
+    x = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    queries = ivfpq.rows_of(df, "vec_id", "embedding").where("id % 50 = 0")
+    index = ivfpq.train(ivfpq.rows_of(df, "vec_id", "embedding"), queries=queries, **options)
+    hit = total = 0
+    found = {}
+    for r in ivfpq.search(ivfpq.rows_of(df, "vec_id", "embedding"), queries, index).collect():
+        found.setdefault(r.query_id, []).append(r.score)
+    for i in range(0, len(x), 50):
+        score = x @ x[i]
+        score[i] = -np.inf
+        hit += sum(s >= np.sort(score)[-5] - 1e-9 for s in found[i])
+        total += 5
+    return hit / total, index
+
+
+def test_recall_where_the_table_is_denser_than_the_sample(spark):
+    """Rows gather in few tight places and the index learns from a tenth: lists hold many more codes than in the sample."""
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(20, 16))[rng.integers(20, size=8000)] + 0.02 * rng.normal(size=(8000, 16))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(4)
+    assert recall_of(df, v, sample_rows=800)[0] > 0.9
+
+
+def test_recall_of_queries_that_lie_otherwise_than_the_rows(spark):
+    """Every fiftieth vector is far from the places where the others gather: its neighbours are in many lists."""
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(60, 24))[rng.integers(60, size=6000)] + 0.1 * rng.normal(size=(6000, 24))
+    v[::50] = rng.normal(size=(120, 24))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(4)
+    found, index = recall_of(df, v)
+    assert found > 0.9 and index.sizes.sum() == 6000
+
+
 def test_index_prunes_where_vectors_gather(spark):
     """Lists and codes that are scored are few, as measured, and the true neighbours are found."""
     rng = np.random.default_rng(5)
