@@ -77,6 +77,16 @@ def test_stages_carry_columns_of_their_own_names(spark, tables):
     assert c.STAGES[-1][1](spark, docs, str(tables)).where("doc_id = 1").agg({"size": "sum"}).first()[0] == len(long.split())
 
 
+def test_the_classifier_bounds_its_batches(spark, tables):
+    """Whole texts go to Python by 16 MB, not 64, also where no other stage ran before."""
+    import corpus_pipeline as c
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(name)
+    c.quality_classifier_stage(spark, spark.read.parquet(str(tables / "documents.parquet")), str(tables))
+    assert spark.conf.get(name) == "16m"
+
+
 def test_stages_alone_where_executors_lack_the_package(tables, tmp_path):
     """The second stage is the first that needs Python on the executors; here only the driver can import the repository."""
     code = f"""

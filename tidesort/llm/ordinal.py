@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidesort.llm.graph import written
+from tidesort.llm.graph import bounded_batches, written
 
 BITS = 20
 PREFIXES = (4, 5, 6, 7)
@@ -240,6 +240,7 @@ def _cdf(x: np.ndarray) -> np.ndarray:
 
 def train(docs: DataFrame, ratings: DataFrame, grade: str = "grade", grades: int = 3, max_rows: int = 12_000, key: str = "doc_id", text: str = "text", bits: int = BITS) -> Model:
     """Fits on at most ``max_rows`` rated rows of ``docs``; ``ratings`` has (key, grade from 0 to grades - 1)."""
+    bounded_batches(docs.sparkSession)
     rated = ratings.select(F.col(f"`{key}`").alias("k"), F.col(f"`{grade}`").cast("int").alias("g")).where("k is not null and g is not null")
     rated = rated.where((F.col("g") >= 0) & (F.col("g") < grades)).groupBy("k").agg(F.min("g").alias("g"))
     sample = rated.orderBy(F.xxhash64("k"), "k").limit(max_rows)
@@ -295,6 +296,7 @@ def train(docs: DataFrame, ratings: DataFrame, grade: str = "grade", grades: int
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "rating") -> DataFrame:
     """All rows and columns of ``docs`` with struct ``out``: expected (grade), tails (array: P(grade >= 1), ...)."""
+    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast((model.weights, model.known, model.thresholds))
     bits = model.bits
 
